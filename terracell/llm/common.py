@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that Python workers anywhere can import it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_terracell_sent", False):
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="terracell-")) / "terracell.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted((root / "terracell").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        sc.addPyFile(str(archive))
+        sc._terracell_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input. Arrow batches are kept to 1,000 rows, as texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,7 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         if not batch.num_rows:
             continue
         sizes = batch.column(column)
-        sizes = np.cumsum(pa.compute.binary_length(sizes).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.cumsum(pc.binary_length(sizes).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
