@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import packing, prefix_counts, token_files
 from .common import shared_dir, table
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -17,13 +17,19 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+    whole = prefix_counts.tokens_at(F.col("counts"), F.col("n_chars"))
+    return counts.select("doc_id", "n_bytes", whole.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, max_length=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op8_packing": op8_packing}
+    return {"op1_token_files": op1_token_files, "op7_prefix_counts": op7_prefix_counts, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
