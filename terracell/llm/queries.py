@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, prefix_counts, token_files
+from . import chunk_codec, packing, prefix_counts, token_files
 from .common import shared_dir, table
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -28,8 +28,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op9_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = chunk_codec.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_token_files": op1_token_files, "op7_prefix_counts": op7_prefix_counts, "op8_packing": op8_packing}
+    return {"op1_token_files": op1_token_files, "op7_prefix_counts": op7_prefix_counts, "op8_packing": op8_packing, "op9_chunk_codec": op9_chunk_codec}
 
 
 def oracle_sql() -> dict[str, str]:
