@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_codec, fingerprints, packing, prefix_counts, token_files, topk, warc
+from . import chunk_codec, fingerprints, langid, packing, prefix_counts, token_files, topk, warc
 from .common import shared_dir, table
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = langid.train(docs, langid.crc_mod("doc_id", 5) != 0)
+    found = langid.identify(docs, models).withColumn("held_out", langid.crc_mod("doc_id", 5) == 0)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", "bits_per_char")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, single = shared_dir(spark, "warc-whole"), shared_dir(spark, "warc")
     files = warc.write_archives(table(spark, sf_dir, "pages"), whole, min_bytes=0)
@@ -78,6 +85,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
+        "op4_language_id": op4_language_id,
         "op5_warc": op5_warc,
         "op6_fingerprints": op6_fingerprints,
         "op7_prefix_counts": op7_prefix_counts,
