@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_codec, fingerprints, langid, packing, prefix_counts, token_files, topk, toxicity, warc
+from . import chunk_codec, fingerprints, langid, neardup, packing, prefix_counts, token_files, topk, toxicity, warc
 from .common import shared_dir, table
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), langid.crc_mod("doc_id", 4) != 2)
@@ -91,6 +95,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_toxicity": op3_toxicity,
         "op4_language_id": op4_language_id,
         "op5_warc": op5_warc,
