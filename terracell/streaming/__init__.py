@@ -1,0 +1 @@
+"""No streaming operator exists: the operators are batch only, as is all that they are held against."""
