@@ -8,11 +8,12 @@ quantised weight such that two texts draw the same with a probability equal to t
 similarity.  ROWS draws make a band.
 
 1. Texts with the same weighted set are one class; only classes go on, so exact copies cost nothing more.
-2. Classes that share a band meet in its bucket.  Each bucket elects a leader, another for each band,
-   and its members are verified against it: a row a member, never all pairs.
+2. Classes that share a band meet in its bucket.  Each bucket elects as leader the member that meets
+   most others over all bands, the likeliest original among copies, and its members are verified
+   against it: a row a member, never all pairs.
 3. A member that the leader did not confirm may still be like another member.  Where verified links
-   have not already joined the two, they are verified as well, so no link between different texts that
-   share a band is lost.  This is the rest of the rest, and its pairs are made only there.
+   have not already joined the two and enough of all their draws agree, they are verified as well, so
+   no link that joins texts is lost but by the odds of the draws.
 4. Connected components of the verified links by propagating the smallest id along links and pointers,
    with a written table each round.
 
@@ -37,6 +38,9 @@ from .fasttok import U64
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a band with probability 0.9996, at 0.5 with 0.62, at 0.3 with 0.11.
 BANDS, ROWS = 15, 4
+#: Draws of a sketch, kept as four bits each, and how many may differ before two texts are no candidates:
+#: at similarity 0.8 fewer than one pair in a thousand differs in more, at 0.7 seven in ten do, at 0.65 nearly all.
+SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 68
 CELL_BITS = 20
 BLOCK_BITS = 14
 
@@ -152,17 +156,13 @@ def _gamma() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.maximum(r, 1e-3), np.log(c).astype(np.float32), ((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 
 
-def bands(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """(n, BANDS) hashes of the samples drawn; a text without shingles gets zeros."""
-    out = np.zeros((n, BANDS), np.uint64)
-    if not len(h):
-        return out.view(np.int64)
+def _draws(own: np.ndarray, h: np.ndarray, w: np.ndarray, seeds: range):
+    """For each seed, the hash of the shingle and weight that each text with shingles draws."""
     gr, gc, gb = _gamma()
     start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    place = own[start]
     low = np.log(w)
     index = np.arange(len(h), dtype=np.uint64)
-    for k in range(BANDS * ROWS):
+    for k in seeds:
         x = (h ^ U64((0xA24BAED4963EE407 * (2 * k + 1)) % (1 << 64))) * U64(0x9FB21C651E98DF25)
         x ^= x >> U64(32)
         x *= U64(0xD6E8FEB86659FD93)
@@ -176,12 +176,43 @@ def bands(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
         bits = np.where(bits < 0, -(bits & 0x7FFFFFFF), bits) + (1 << 31)
         least = np.minimum.reduceat((bits.astype(np.uint64) << U64(32)) | index, start)
         won = (least & U64(0xFFFFFFFF)).astype(np.int64)
-        drawn = _mix(h[won] + U64(0x9E3779B97F4A7C15) * t[won].astype(np.int64).view(np.uint64))
-        band = k // ROWS
-        out[place, band] = _mix(out[place, band] * U64(31) + drawn + U64(k + 1))
+        yield k, _mix(h[won] + U64(0x9E3779B97F4A7C15) * t[won].astype(np.int64).view(np.uint64))
+
+
+def bands(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """(n, BANDS) hashes of the draws of each band; a text without shingles gets zeros."""
+    out = np.zeros((n, BANDS), np.uint64)
+    if len(h):
+        place = np.unique(own)
+        for k, drawn in _draws(own, h, w, range(BANDS * ROWS)):
+            out[place, k // ROWS] = _mix(out[place, k // ROWS] * U64(31) + drawn + U64(k + 1))
     return out.view(np.int64)
 
 
+def sketches(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """(n, SLICES * SKETCH / 64): four bits of each of SKETCH further draws, 64 draws and one bit of each to a number."""
+    words = SKETCH // 64
+    out = np.zeros((n, words * SLICES), np.uint64)
+    if len(h):
+        place = np.unique(own)
+        for k, drawn in _draws(own, h, w, range(1000, 1000 + SKETCH)):
+            word, bit = divmod(k - 1000, 64)
+            for i in range(SLICES):
+                out[place, word * SLICES + i] |= ((drawn >> U64(7 * i + 3)) & U64(1)) << U64(bit)
+    return out.view(np.int64)
+
+
+def differing(one: list, two: list):
+    """Column: of how many draws the four bits differ, between sketches as lists of columns."""
+    total = None
+    for word in range(0, len(one), SLICES):
+        any_bit = None
+        for x, y in zip(one[word : word + SLICES], two[word : word + SLICES]):
+            any_bit = x.bitwiseXOR(y) if any_bit is None else any_bit.bitwiseOR(x.bitwiseXOR(y))
+        total = F.bit_count(any_bit) if total is None else total + F.bit_count(any_bit)
+    return total
+
+
 def _digest(own: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> list[bytes]:
     """128-bit digests of shingle sets with counts; of the empty set, nothing."""
     from hashlib import blake2b
@@ -252,7 +283,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         own, h, count = shingles(batch.column("text").to_pylist())
         w = weigh(*sent.value, h, count)
         b = bands(own, h, w, batch.num_rows)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(b.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * b.shape[1], pa.int32()), pa.array(b.ravel()))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_digest(own, h, count, batch.num_rows), pa.binary()), lists], ["doc_id", "digest", "bands"])
 
     def signed(batches):
@@ -264,9 +295,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     some = signs.where(F.octet_length("digest") > 0)
     classes = staged(some.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands")).where("copy_of IS NOT NULL"), "classes")
     members = classes.select(F.col("copy_of").alias("id"), F.posexplode("bands").alias("band", "key"))
-    order = F.xxhash64("band", "id")
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", order).alias("leader")).where("n > 1").select("band", "key", "leader")
-    met = staged(members.join(buckets, ["band", "key"]).where("id <> leader"), "met")
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staged(members.join(sizes, ["band", "key"]), "shared")
+    # The member that meets most others over all bands is the likeliest original of copies that differ from each other.
+    central = shared.groupBy("id").agg(F.sum("n").alias("meets"))
+    shared = shared.drop("n").join(central, "id")
+    leaders = shared.groupBy("band", "key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("leader"))
+    met = staged(shared.drop("meets").join(leaders, ["band", "key"]).where("id <> leader"), "met")
 
     wanted = met.select("id").union(met.select(F.col("leader").alias("id"))).distinct()
     # Texts of those that met anyone; of documents with one id, the least text that is of the class.
@@ -289,12 +324,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     roots = components(links)
 
     # Members that their bucket's leader did not confirm, beside the bucket's members of other components.
-    pair_of = met.select("band", "key", "id", "leader", least, most)
-    failed = pair_of.join(tested.where("NOT similar").select("a", "b"), ["a", "b"]).select("band", "key", "id")
-    rooted = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    inside = rooted(met.select("band", "key", "id"))
-    left = rooted(failed).select("band", "key", F.col("id").alias("x"), F.col("root").alias("root_x"))
-    rest = left.join(inside, ["band", "key"]).where("root <> root_x").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, h, count = shingles(batch.column("text").to_pylist())
+        words = sketches(own, h, weigh(*sent.value, h, count), batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(words[:, i]) for i in range(words.shape[1]))], ["id", *names])
+
+    names = [f"s{i}" for i in range(SLICES * SKETCH // 64)]
+    keys = [f"k{i}" for i in range(BANDS)]
+    drawn = map_batches(held, sketched, "id long, " + ", ".join(f"{c} long" for c in names))
+    drawn = staged(drawn.join(classes.select(F.col("copy_of").alias("id"), *[F.col("bands")[i].alias(c) for i, c in enumerate(keys)]), "id"), "sketches")
+    failed = met.select("band", "key", "id", least, most).join(links, ["a", "b"], "left_anti").select("band", "key", "id")
+    about = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(drawn, "id")
+    left = about(failed).select("band", "key", F.col("id").alias("x"), F.col("root").alias("root_x"), *[F.col(c).alias(f"x{c}") for c in names + keys])
+    there = about(met.select("band", "key", "id").join(failed.withColumn("failed", F.lit(True)), ["band", "key", "id"], "left"))
+    alike = differing([F.col(c) for c in names], [F.col(f"x{c}") for c in names]) <= MOST_DIFFERENT
+    # Each pair once: in the first band that it shares, and from its smaller id where both failed there.
+    first = F.coalesce(*[F.when(F.col(c) == F.col(f"x{c}"), i) for i, c in enumerate(keys)]) == F.col("band")
+    once = (F.col("x") < F.col("id")) | F.col("failed").isNull()
+    rest = left.join(there, ["band", "key"]).where((F.col("root") != F.col("root_x")) & first & once & alike)
+    rest = rest.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(rest).where("similar").select("a", "b")
     if more.limit(1).count():
