@@ -129,7 +129,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def contractions(x: np.ndarray, c: np.ndarray, flag: np.ndarray, after_space: bool) -> None:
     """Moves piece starts for 's 't 'm 'd 're 've 'll, which the patterns try first."""
     quote = np.flatnonzero(x == 39)
-    quote = quote[(quote > 0) & (quote < len(x) - 1)]
+    quote = quote[quote < len(x) - 1]
+    # The first character of all has the last before it, which is a break: neither a space nor of a word.
     ok = (c[quote] == OTHER) & (c[quote - 1] != OTHER) & (c[quote + 1] == LETTER)
     quote = quote[ok if after_space else ok & (x[quote - 1] != 32)]
     if not len(quote):
