@@ -96,7 +96,8 @@ class Scorer:
         bits, chars = np.zeros((len(texts), self.bits.shape[1])), np.zeros(len(texts))
         get = self.number.__getitem__
         for i, c in enumerate(counts):
-            if c:
+            # Superscripts and fractions are word characters, but no letters.
+            if c and any(x.isalpha() for w in c for x in w):
                 n = np.fromiter(c.values(), np.float64, len(c))
                 bits[i] = n @ self.bits[np.fromiter(map(get, c), np.int64, len(c))]
                 chars[i] = n @ (np.fromiter(map(len, c), np.float64, len(c)) + 1)

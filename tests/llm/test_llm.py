@@ -235,7 +235,7 @@ def labelled(spark):
         elif i % 3:
             marks.append((i, 0))
         rows.append((i, " ".join(words), lang))
-    extra = [(1000, None, "aa"), (1001, "12 34 !!", "bb"), (1002, "qxzjwvkp gfdhxqz wqxj zzkqxv qqwxz jjxqkw vxqz", None), (None, "lokami turelo", "aa")]
+    extra = [(1000, None, "aa"), (1001, "12 34 !! ½ ²", "bb"), (1002, "qxzjwvkp gfdhxqz wqxj zzkqxv qqwxz jjxqkw vxqz", None), (None, "lokami turelo", "aa")]
     d = spark.createDataFrame([(*r, "c") for r in rows + extra], "doc_id long, text string, lang string, u string")
     labels = spark.createDataFrame(marks + [(0, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     return d, labels, dict((i, lang) for i, _, lang in rows), dict(marks)
