@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     wanted = met.select("id").union(met.select(F.col("leader").alias("id"))).distinct()
     # Texts of those that met anyone; of documents with one id, the least text that is of the class.
-    held = rows.join(wanted, rows["doc_id"] == wanted["id"]).groupBy("id").agg(F.min("text").alias("text"))
+    # Joined the same way at every size: the ids grow with the input, so they are not broadcast where they happen to be few.
+    held = rows.join(wanted.hint("merge"), rows["doc_id"] == wanted["id"]).groupBy("id").agg(F.min("text").alias("text"))
     held = staged(held, "met-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
