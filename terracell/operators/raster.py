@@ -141,3 +141,31 @@ def coverage(one: DataFrame, two: DataFrame) -> DataFrame:
     a, b = one.select("row", "col", F.lit(1).alias("a")), two.select("row", "col", F.lit(1).alias("b"))
     met = a.join(b, ["row", "col"], "full")
     return met.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("a").isNull()).alias("extra"))
+
+
+def sample_window(df: DataFrame, row: int, col: int, height: int, width: int, size: int = 64) -> DataFrame:
+    """The ``size`` x ``size`` cells around a cell, moved inwards at the raster's edges: a range of rows and columns, which a scan can prune by."""
+    top, left = (max(0, min(c - size // 2, n - size)) for c, n in ((row, height), (col, width)))
+    return df.where(F.col("row").between(top, top + size - 1) & F.col("col").between(left, left + size - 1))
+
+
+def invalid_share(df: DataFrame, code: str) -> DataFrame:
+    """One row: pixels, invalid ones by their class (a missing class counts as 0, which is invalid), and their percent."""
+    bad = F.coalesce(F.col(code), F.lit(0)).isin(*INVALID_CLASSES)
+    return df.agg(F.count(F.lit(1)).alias("pixels"), F.count_if(bad).alias("invalid")).withColumn("percent", safe_div(F.col("invalid") * 100.0, F.col("pixels").cast("double")))
+
+
+def require_clear(df: DataFrame, code: str, most: float = 1.0) -> DataFrame:
+    """df without its invalid pixels; a scene with more than ``most`` percent of them raises. Acts on the data."""
+    percent = invalid_share(df, code).first()["percent"]
+    if percent is None or percent > most:
+        raise ValueError(f"{percent} percent of the pixels are invalid")
+    return df.where(~F.coalesce(F.col(code), F.lit(0)).isin(*INVALID_CLASSES))
+
+
+def score_checks(scores: DataFrame, mask: DataFrame, score: str) -> DataFrame:
+    """One row of counts that must be 0: scores (row, col) beside the mask's cells, missing, repeated, undefined or outside [0, 1]."""
+    n = scores.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("low"), F.max(score).alias("high"), F.count_if(~finite(F.col(score))).alias("undefined"))
+    met = n.join(mask.select("row", "col", F.lit(1).alias("valid")), ["row", "col"], "full")
+    count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    return met.agg(count(F.col("valid").isNull(), "beside_mask"), count(F.col("n").isNull(), "missing"), count(F.col("n") > 1, "repeated"), count(F.col("undefined") > 0, "undefined"), count((F.col("low") < 0) | (F.col("high") > 1), "out_of_range"))
