@@ -93,11 +93,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = end
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
-    """fn over bounded Arrow batches of each partition."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str = "text", most: int = 1 << 23) -> DataFrame:
+    """fn over Arrow batches of at most ``most`` bytes of a column, of each partition."""
 
     def run(batches):
-        for part in slices(batches, column):
+        for part in slices(batches, column, most):
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out

@@ -42,6 +42,8 @@ BANDS, ROWS = 15, 4
 #: at similarity 0.8 fewer than one pair in a thousand differs in more, at 0.7 seven in ten do, at 0.65 nearly all.
 SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 68
 CELL_BITS = 20
+#: Bytes of text that are shingled at a time: the arrays behind them take some fifty times as much.
+BATCH = 1 << 20
 BLOCK_BITS = 14
 
 
@@ -109,7 +111,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         total, n = np.zeros(cells, np.int64), 0
-        for batch in slices(batches, most=1 << 22):
+        for batch in slices(batches, most=BATCH):
             own, h, _ = shingles(batch.column("text").to_pylist())
             total += np.bincount((h >> U64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
             n += batch.num_rows
@@ -287,7 +289,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_digest(own, h, count, batch.num_rows), pa.binary()), lists], ["doc_id", "digest", "bands"])
 
     def signed(batches):
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=BATCH):
             yield sign(batch)
 
     # A text without shingles keeps a digest of its own: it is nobody's copy.
@@ -317,7 +319,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             s = similarities(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), *sent.value)
             return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s >= similarity)], ["a", "b", "similar"])
 
-        return staged(map_batches(beside.select("a", "b", "text_a", "text_b"), run, "a long, b long, similar boolean", "text_b"), "verified")
+        return staged(map_batches(beside.select("a", "b", "text_a", "text_b"), run, "a long, b long, similar boolean", "text_b", BATCH), "verified")
 
     least, most = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
     tested = verified(met.select(least, most).distinct())
@@ -332,7 +334,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     names = [f"s{i}" for i in range(SLICES * SKETCH // 64)]
     keys = [f"k{i}" for i in range(BANDS)]
-    drawn = map_batches(held, sketched, "id long, " + ", ".join(f"{c} long" for c in names))
+    drawn = map_batches(held, sketched, "id long, " + ", ".join(f"{c} long" for c in names), most=BATCH)
     drawn = staged(drawn.join(classes.select(F.col("copy_of").alias("id"), *[F.col("bands")[i].alias(c) for i, c in enumerate(keys)]), "id"), "sketches")
     failed = met.select("band", "key", "id", least, most).join(links, ["a", "b"], "left_anti").select("band", "key", "id")
     about = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(drawn, "id")
