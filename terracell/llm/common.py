@@ -76,6 +76,22 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+_held: dict[str, tuple] = {}
+
+
+def held(name: str, make: Callable):
+    """What a worker remembers for one model, made anew for another: no more than one is kept at a time."""
+    if "one" not in _held or _held["one"][0] != name:
+        _held.clear()
+        _held["one"] = (name, make())
+    return _held["one"][1]
+
+
+def release() -> None:
+    """Forgets it, before work that needs none."""
+    _held.clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of one column, or one row."""
     import numpy as np

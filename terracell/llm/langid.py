@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import CharModel
-from .common import map_batches, slices
+from .common import held, map_batches, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered by a worker before it starts anew.
-MAX_WORDS = 1 << 20
+MAX_WORDS = 1 << 19
 UNKNOWN = "und"
 
 
@@ -104,15 +104,9 @@ class Scorer:
         return bits, chars
 
 
-_scorers: dict[str, tuple] = {}
-
-
 def scorer(sent) -> Scorer:
     """The worker's scorer of a broadcast model."""
-    held = _scorers.get("one")
-    if held is None or held[0] != sent.value.name:
-        held = _scorers["one"] = (sent.value.name, Scorer(sent.value))
-    return held[1]
+    return held(f"language {sent.value.name}", lambda: Scorer(sent.value))
 
 
 def train(docs: DataFrame, learnable: Column, sample: int = 400, seed: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions, slices, staged, texts
+from .common import map_batches, partitions, release, slices, staged, texts
 from .fasttok import U64
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -110,6 +110,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     cells, block = 1 << CELL_BITS, 1 << BLOCK_BITS
 
     def count(batches):
+        release()
         total, n = np.zeros(cells, np.int64), 0
         for batch in slices(batches, most=BATCH):
             own, h, _ = shingles(batch.column("text").to_pylist())

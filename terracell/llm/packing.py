@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import release, slices, texts
 from .fasttok import encoder
 
 #: Bits of a sequence's id for the rank within a task and bucket, and for the task.
@@ -37,6 +37,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int =
         raise ValueError("max_length must be a power of two")
 
     def run(batches):
+        release()
         enc = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         ranks = np.zeros(64, np.int64)

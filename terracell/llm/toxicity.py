@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import END, ORDER, START, CharModel
-from .common import map_batches, slices
+from .common import held, map_batches, slices
 from .langid import MAX_WORDS, WORD, unit_hash
 
 #: The letters that a character is used in place of.
@@ -190,15 +190,9 @@ class Reader:
         return max(found.values(), default=0.0), log1p(sum(found.values())), log1p(len(tokens)) if found else 0.0, sorted(found)
 
 
-_readers: dict[str, tuple] = {}
-
-
 def reader(sent) -> Reader:
     """The worker's reader of a broadcast model."""
-    held = _readers.get("one")
-    if held is None or held[0] != sent.value.name:
-        held = _readers["one"] = (sent.value.name, Reader(sent.value))
-    return held[1]
+    return held(f"toxicity {sent.value.name}", lambda: Reader(sent.value))
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = 4000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
