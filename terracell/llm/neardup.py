@@ -3,7 +3,7 @@
 A text is the weighted set of its shingles of five words.  A shingle weighs its count times its
 inverse document frequency, taken over all documents from a table of fixed size that shingle hashes
 are counted in (2**20 cells, whatever the corpus; a cell's chance share of other shingles is the same
-fraction of the corpus at every size).  ICWS draws, for each of BANDS x ROWS seeds, one shingle and a
+fraction of the corpus at every size) and scaled to a narrow range, so that no group sinks by its own size.  ICWS draws, for each of BANDS x ROWS seeds, one shingle and a
 quantised weight such that two texts draw the same with a probability equal to their weighted Jaccard
 similarity.  ROWS draws make a band.
 
@@ -42,6 +42,10 @@ BANDS, ROWS = 15, 4
 #: at similarity 0.8 fewer than one pair in a thousand differs in more, at 0.7 seven in ten do, at 0.65 nearly all.
 SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 68
 CELL_BITS = 20
+#: The rarest shingle weighs 1 + SPREAD times the commonest.  Copies are counted in the frequencies, so what a
+#: group shares weighs least and each copy's edits most: a pair of plain Jaccard similarity j has at least
+#: j / (j + (1 - j) (1 + SPREAD)), which is 0.8 at j = 0.849, whatever the group's share of the corpus.
+SPREAD = 0.4
 #: Bytes of text that are shingled at a time: the arrays behind them take some fifty times as much.
 BATCH = 1 << 20
 BLOCK_BITS = 14
@@ -145,9 +149,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weigh(frequencies: np.ndarray, n: int, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Count times inverse document frequency, at least a tenth of the count."""
+    """Count times inverse document frequency, which runs from 1 (in all documents) to 1 + SPREAD."""
     found = frequencies[(h >> U64(64 - CELL_BITS)).astype(np.int64)]
-    return (count * np.maximum(0.1, np.log((n + 1) / (found + 1)))).astype(np.float32)
+    rare = np.clip(np.log((n + 1) / (found + 1)) / np.log(n + 1), 0, 1)
+    return (count * (1 + SPREAD * rare)).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
