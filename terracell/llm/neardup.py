@@ -39,8 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a band with probability 0.9996, at 0.5 with 0.62, at 0.3 with 0.11.
 BANDS, ROWS = 15, 4
 #: Draws of a sketch, kept as four bits each, and how many may differ before two texts are no candidates:
-#: at similarity 0.8 fewer than one pair in a thousand differs in more, at 0.7 seven in ten do, at 0.65 nearly all.
-SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 68
+#: at similarity 0.8 fewer than one pair in a million differs in more, at 0.6 nearly all do.
+SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 80
 CELL_BITS = 20
 #: The rarest shingle weighs 1 + SPREAD times the commonest.  Copies are counted in the frequencies, so what a
 #: group shares weighs least and each copy's edits most: a pair of plain Jaccard similarity j has at least

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from math import comb
 
 from pyspark.sql import functions as F
 
@@ -39,3 +40,8 @@ def test_near_copies_of_a_third_of_all_rows_are_found(spark):
         if 0.85 <= jaccard(copies[a], copies[b]) < 1:
             assert x >= neardup.SIMILARITY and got[a] == got[b]
     assert all(got[i] == i for i in range(len(copies), n))
+
+
+def test_sketches_lose_next_to_nothing_that_the_bands_found():
+    p, n = (1 - neardup.SIMILARITY) * 15 / 16, neardup.SKETCH
+    assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(neardup.MOST_DIFFERENT + 1, n + 1)) < 1e-6
