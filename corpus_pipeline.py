@@ -42,12 +42,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: of each group of near-duplicates the document with the smallest id stays. Documents without an id stay, too."""
+    """Stage 3: of each group of near-duplicates the document with the smallest id stays, one of those without an id if none has any."""
     ship(spark)
-    groups = neardup.near_duplicates(docs)
-    first = groups.where("doc_id = class_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    return neardup.firsts(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

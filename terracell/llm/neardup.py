@@ -19,8 +19,9 @@ similarity.  ROWS draws make a band.
 
 Words are runs of letters, digits and other non-separating characters, in lower case; a text of one to
 four words is one shingle.  Cases: null, empty and wordless texts are alike only in having no shingle
-and stay alone; repeated rows and equal ids each get their row; a null id belongs to its text's
-class; an empty table gives no rows.
+and stay alone; repeated rows each get their row, and so do different texts with one id, each of its own
+class; texts without ids are compared as others are, but a group without any id has no class_id; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -275,14 +276,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, doc_id, class_id, copy_of, n_links): a row a document.
+def mark(text):
+    """Column: what tells the texts of rows with one id, or without id, apart."""
+    return F.unhex(F.md5(text))
 
-    class_id is the smallest document id of its group of near-duplicates, copy_of that of the documents
-    with the same weighted shingles, n_links the number of verified links of that class.
+
+def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, digest, ...), a row a document, and (digest, copy_of, first, n_links), a row a class of equal texts.
+
+    first is the (without, doc_id, mark) of the document with the smallest id of the class's group of
+    near-duplicates; without is true and doc_id null if none of them has an id. The digest of texts
+    without shingles is empty, and they have no class.
     """
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col).withColumn("mark", mark("text"))
     frequencies, n = document_frequencies(rows)
     # A fixed number of cells: 4 MB, at any size of the corpus.
     sent = spark.sparkContext.broadcast((frequencies.astype(np.uint32), n))
@@ -292,29 +299,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         w = weigh(*sent.value, h, count)
         b = bands(own, h, w, batch.num_rows)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * b.shape[1], pa.int32()), pa.array(b.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_digest(own, h, count, batch.num_rows), pa.binary()), lists], ["doc_id", "digest", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(_digest(own, h, count, batch.num_rows), pa.binary()), lists], ["doc_id", "mark", "digest", "bands"])
 
     def signed(batches):
         for batch in slices(batches, most=BATCH):
             yield sign(batch)
 
     # A text without shingles keeps a digest of its own: it is nobody's copy.
-    signs = staged(rows.mapInArrow(signed, "doc_id long, digest binary, bands array<long>"), "signatures")
+    signs = staged(rows.mapInArrow(signed, "doc_id long, mark binary, digest binary, bands array<long>"), "signatures")
     some = signs.where(F.octet_length("digest") > 0)
-    classes = staged(some.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands")).where("copy_of IS NOT NULL"), "classes")
-    members = classes.select(F.col("copy_of").alias("id"), F.posexplode("bands").alias("band", "key"))
+    # A class goes by 64 bits of its digest, not by an id, which texts may share or lack: among 15 million, two are the same with odds of 1 in 160,000.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark")).alias("one")
+    classes = staged(some.groupBy("digest").agg(one, F.first("bands").alias("bands")).withColumn("id", F.xxhash64("digest")), "classes")
+    members = classes.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(members.join(sizes, ["band", "key"]), "shared")
     # The member that meets most others over all bands is the likeliest original of copies that differ from each other.
     central = shared.groupBy("id").agg(F.sum("n").alias("meets"))
     shared = shared.drop("n").join(central, "id")
-    leaders = shared.groupBy("band", "key").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("leader"))
+    leaders = shared.groupBy("band", "key").agg(F.max_by("id", F.struct("meets", F.bitwise_not("id"))).alias("leader"))
     met = staged(shared.drop("meets").join(leaders, ["band", "key"]).where("id <> leader"), "met")
 
     wanted = met.select("id").union(met.select(F.col("leader").alias("id"))).distinct()
-    # Texts of those that met anyone; of documents with one id, the least text that is of the class.
+    # A text of each class that met any other: that of its first document.
     # Joined the same way at every size: the ids grow with the input, so they are not broadcast where they happen to be few.
-    held = rows.join(wanted.hint("merge"), rows["doc_id"] == wanted["id"]).groupBy("id").agg(F.min("text").alias("text"))
+    wanted = classes.select("id", F.col("one.doc_id").alias("of"), F.col("one.mark").alias("its")).join(wanted, "id")
+    held = rows.join(wanted.hint("merge"), rows["doc_id"].eqNullSafe(wanted["of"]) & (rows["mark"] == wanted["its"])).groupBy("id").agg(F.min("text").alias("text"))
     held = staged(held, "met-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -341,7 +351,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     names = [f"s{i}" for i in range(SLICES * SKETCH // 64)]
     keys = [f"k{i}" for i in range(BANDS)]
     drawn = map_batches(held, sketched, "id long, " + ", ".join(f"{c} long" for c in names), most=BATCH)
-    drawn = staged(drawn.join(classes.select(F.col("copy_of").alias("id"), *[F.col("bands")[i].alias(c) for i, c in enumerate(keys)]), "id"), "sketches")
+    drawn = staged(drawn.join(classes.select("id", *[F.col("bands")[i].alias(c) for i, c in enumerate(keys)]), "id"), "sketches")
     failed = met.select("band", "key", "id", least, most).join(links, ["a", "b"], "left_anti").select("band", "key", "id")
     about = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(drawn, "id")
     left = about(failed).select("band", "key", F.col("id").alias("x"), F.col("root").alias("root_x"), *[F.col(c).alias(f"x{c}") for c in names + keys])
@@ -358,7 +368,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         links = links.union(more)
         roots = components(links)
 
-    degree = links.select(F.col("a").alias("copy_of")).union(links.select("b")).groupBy("copy_of").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("digest", "copy_of").join(roots.withColumnRenamed("id", "copy_of"), "copy_of", "left").join(degree, "copy_of", "left")
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    first = roots.join(classes.select("id", "one"), "id").groupBy("root").agg(F.min("one").alias("first"))
+    named = classes.select("id", "digest", "one").join(roots, "id", "left").join(first, "root", "left").join(degree, "id", "left")
+    return signs, named.select("digest", F.col("one.doc_id").alias("copy_of"), F.coalesce("first", "one").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, copy_of, n_links): a row a document.
+
+    class_id is the smallest document id of its group of near-duplicates, copy_of that of the documents
+    with the same weighted shingles, n_links the number of verified links of that class.
+    """
+    signs, named = groups(docs, similarity, id_col, text_col)
     out = signs.select("doc_id", "digest").join(named, "digest", "left")
-    return out.select("doc_id", F.coalesce("root", "copy_of", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.coalesce("first.doc_id", "copy_of", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, one of each group of near-duplicates: that with the smallest id. Texts without shingles stay, but for repeated rows with an id."""
+    signs, named = groups(docs, id_col=id_col, text_col=text_col)
+    alone = signs.where(F.octet_length("digest") == 0).select("doc_id", "mark", F.lit(True).alias("_alone")).distinct()
+    stay = named.select("first.doc_id", "first.mark", F.lit(False).alias("_alone")).distinct().union(alone)
+    # A null id is equal to another here. Both the join and the choice of a row go by these columns.
+    keys = lambda i, m: {"_id": F.coalesce(i, F.lit(0)), "_without": i.isNull(), "_mark": m}
+    stay = stay.withColumns(keys(F.col("doc_id"), F.col("mark"))).drop("doc_id", "mark")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    found = docs.withColumns(keys(F.col(f"`{id_col}`").cast("long"), mark(text))).join(stay, ["_id", "_without", "_mark"])
+    each = found.where("NOT (_alone AND _without)").dropDuplicates(["_id", "_without", "_mark"])
+    return each.union(found.where("_alone AND _without")).select(*[f"`{c}`" for c in docs.columns])

@@ -45,3 +45,21 @@ def test_near_copies_of_a_third_of_all_rows_are_found(spark):
 def test_sketches_lose_next_to_nothing_that_the_bands_found():
     p, n = (1 - neardup.SIMILARITY) * 15 / 16, neardup.SKETCH
     assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(neardup.MOST_DIFFERENT + 1, n + 1)) < 1e-6
+
+
+def test_texts_that_share_or_lack_an_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    base = [[f"w{rng.randrange(10**9)}" for _ in range(200)] for _ in range(4)]
+    near = [" ".join(edited(rng, b, 1)) for b in base]
+    a, b, c, e = (" ".join(x) for x in base)
+    # Two texts with id 1, each with a near copy; near copies without id; repeated rows; texts without words.
+    rows = [(1, a), (1, b), (2, near[0]), (3, near[1]), (None, c), (None, near[2]), (4, e), (4, e), (None, near[3]), (5, ""), (5, ""), (5, "?!"), (None, ""), (None, None)]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, mark string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, d, "").collect())
+    left = [k for k in got if k[1] in (c, near[2])]
+    assert len(left) == 1 and got.pop(left[0]) == 1
+    assert got == Counter([(1, a), (1, b), (4, e), (5, ""), (5, "?!"), (None, ""), (None, None)])
+    links = {(r["doc_id"], r["n_links"]) for r in neardup.near_duplicates(d).where("doc_id < 4").collect()}
+    assert links == {(1, 1), (2, 1), (3, 1)}
