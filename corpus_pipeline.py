@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL has neither the models nor the tokenizer; the tests hold each stage against a brute-force version.
+#: SQL has neither the models nor the tokenizer; the tests hold near-duplicates against all pairs in plain Python, language and toxicity against the labels of
+#: their fixture, and packing against its checksums.
 ORACLE_SQL = None

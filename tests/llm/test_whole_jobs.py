@@ -2,7 +2,7 @@
 
 import random
 from collections import Counter
-from math import comb
+from math import comb, log
 
 from pyspark.sql import functions as F
 
@@ -63,3 +63,30 @@ def test_texts_that_share_or_lack_an_id(spark):
     assert got == Counter([(1, a), (1, b), (4, e), (5, ""), (5, "?!"), (None, ""), (None, None)])
     links = {(r["doc_id"], r["n_links"]) for r in neardup.near_duplicates(d).where("doc_id < 4").collect()}
     assert links == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_stage_keeps_what_all_pairs_in_plain_python_keep(spark):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    big, texts = [word() for _ in range(248)], []
+    for g in range(16):
+        base = [word() for _ in range(rng.randint(60, 150))]
+        texts += [edited(rng, base, rng.randint(0, 3)) for _ in range(rng.randint(1, 8))]
+    texts += [edited(rng, big, rng.randint(1, 2)) for _ in range(len(texts) // 2)]
+    rng.shuffle(texts)
+    bags = [Counter(zip(*[t[k:] for k in range(5)])) for t in texts]
+    df, n = Counter(x for b in bags for x in b), len(texts)
+    weighted = [{x: c * (1 + neardup.SPREAD * log((n + 1) / (df[x] + 1)) / log(n + 1)) for x, c in b.items()} for b in bags]
+    root = list(range(n))
+    for b in range(n):
+        for a in range(b):
+            x, y = weighted[a], weighted[b]
+            shared = sum(min(w, y[k]) for k, w in x.items() if k in y)
+            if shared >= 0.8 * (sum(x.values()) + sum(y.values()) - shared):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, "").collect()} == set(root)
+    assert 16 <= len(set(root)) < n / 2
