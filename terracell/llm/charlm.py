@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .fasttok import SpanHash
+from .fasttok import SpanHash, ragged
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -27,29 +27,47 @@ def _hash() -> SpanHash:
     return SpanHash(1 << 16, 31337)
 
 
+def padded(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of words, given as spans of code points, with their marks; the positions that are predicted; and the word of each. Characters beyond 16 bits count as one."""
+    n = ends - starts
+    first = np.cumsum(n + ORDER) - n - 1
+    out = np.full(int(n.sum()) + ORDER * len(n), ord(START), np.uint16)
+    out[ragged(first, n)] = np.minimum(x[ragged(starts, n)], 0xFFFF)
+    out[first + n] = ord(END)
+    return out, ragged(first, n + 1), np.repeat(np.arange(len(n)), n + 1)
+
+
 def _read(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all words with their marks, the positions that are predicted, and the word of each."""
-    joined = "".join(START * (ORDER - 1) + w + END for w in words)
-    x = np.frombuffer(joined.encode("utf-16-le", "replace"), np.uint16)
-    if len(x) != len(joined):  # characters beyond 16 bits count as one unknown character
-        x = np.array([min(ord(c), 0xFFFF) for c in joined], np.uint16)
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(n + ORDER - 1)
-    word = np.repeat(np.arange(len(words)), n)
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends - n, n)
-    return x, at, word
+    """``padded`` of words given as strings."""
+    x = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return padded(x, np.append(0, ends[:-1])[: len(words)], ends)
 
 
-class CharModel:
-    """log2 probabilities of characters in words."""
+def grams(x: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of the highest order that end at the places ``at`` of x, one after another, and their sums of weights."""
+    prefix = _hash().prefix(x)
+    _, first, inverse = np.unique(_hash().spans(prefix, at - ORDER + 1, at + 1), return_index=True, return_inverse=True)
+    return x[(at[first] - ORDER + 1)[:, None] + np.arange(ORDER)].ravel(), np.bincount(inverse, weight, len(first)).astype(np.int64)
 
-    def __init__(self, counts: dict[str, int]):
-        words = sorted(counts)
-        x, at, word = _read(words)
-        weight = np.array([counts[w] for w in words], np.float64)[word]
+
+class CharModel:
+    """log2 probabilities of characters in words, from the words' counts or from those of n-grams of the highest order."""
+
+    def __init__(self, counts: dict[str, int], of_grams: bool = False):
+        keys = sorted(counts)
+        if of_grams:
+            x = np.frombuffer("".join(keys).encode("utf-16-le", "surrogatepass"), np.uint16)
+            at, word = np.arange(ORDER - 1, len(x), ORDER), np.arange(len(keys))
+        else:
+            x, at, word = _read(keys)
+        weight = np.array([counts[w] for w in keys], np.float64)[word]
         h = _hash()
         prefix = h.prefix(x)
-        self.base = -np.log2(len(np.unique(x[at])) + 1) if len(at) else 0.0
+        letters, place = np.unique(x[at], return_inverse=True)
+        #: The characters that were read, the commonest first.
+        self.alphabet = letters[np.argsort(-np.bincount(place, weight, len(letters)), kind="stable")] if len(at) else letters
+        self.base = -np.log2(len(letters) + 1) if len(at) else 0.0
         grams: dict[int, tuple] = {}
         where, count = at, weight
         for n in range(ORDER, 0, -1):
@@ -78,6 +96,10 @@ class CharModel:
     def word_bits(self, words: list[str]) -> np.ndarray:
         """Bits that each word takes, its end included."""
         x, at, word = _read(words)
+        return np.bincount(word, self.bits_at(x, at), len(words))
+
+    def bits_at(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits of each character of x at the places ``at``, after the ORDER - 1 characters before it."""
         h = _hash()
         prefix = h.prefix(x)
         bits = np.zeros(len(at))
@@ -88,20 +110,7 @@ class CharModel:
             todo = todo[~found]
             bits[todo] -= _find(self.contexts, self.shares, h.spans(prefix, at[todo] - n + 1, at[todo]))[1]
         bits[todo] -= self.base
-        return np.bincount(word, bits, len(words))
-
-    def follow_bits(self, context: str, char: str) -> float:
-        """Bits of one character after ORDER - 1 others."""
-        x = np.array([min(ord(c), 0xFFFF) for c in context[-(ORDER - 1) :] + char], np.uint16)
-        prefix = _hash().prefix(x)
-        end, bits = len(x), 0.0
-        one = lambda a, b: _hash().spans(prefix, np.array([a]), np.array([b]))
-        for n in range(min(ORDER, end), 0, -1):
-            found, log = _find(self.keys, self.logs, one(end - n, end))
-            if found[0]:
-                return bits - float(log[0])
-            bits -= float(_find(self.contexts, self.shares, one(end - n, end - 1))[1][0])
-        return bits - self.base
+        return bits
 
 
 def _sorted(keys: list, values: list) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,9 @@
-"""What the operators of this subpackage share: the shared folder, staged tables, Arrow helpers."""
+"""What the operators of this subpackage share: the shared folder, staged tables, a worker's memory, Arrow helpers."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -27,43 +29,88 @@ def ship(spark: SparkSession) -> None:
         sc._terracell_sent = True
 
 
+#: Bytes of an Arrow batch, in the JVM and in Python.
+ARROW_BYTES = 1 << 22
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input. Arrow batches are kept to 1,000 rows, as texts may be long."""
+    """A table of the input.
+
+    Arrow batches are bounded in bytes, as texts may be long. Plans read this bound from the session when
+    they run, so it stays set; it changes no result, and batches of short rows stay as they were.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB") or 0) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _hadoop(spark: SparkSession, uri: str):
+    """Hadoop's file system of a URI, and its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the session names none (tests, a single machine) a temporary folder takes its place.
+    A folder without a scheme lies in the cluster's default file system, for Spark and for the file
+    system that ``filesystem`` opens alike. Only where the session names no folder (tests, a single
+    machine) a temporary one takes its place.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
+    base = getattr(sc, "_terracell_shared", None)
     if not base:
-        base = getattr(sc, "_terracell_shared", None)
-        if not base:
-            base = sc._terracell_shared = "file://" + tempfile.mkdtemp(prefix="terracell-")
-    if "://" not in base:
-        base = f"file://{base}" if base.startswith("/") and sc.master.startswith("local") else base
+        base = sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="terracell-")
+        fs, path = _hadoop(spark, base)
+        base = fs.makeQualified(path).toString()
+        # Hadoop writes file:/x, others file:///x.
+        base = sc._terracell_shared = base.replace("file:/", "file:///", 1) if base.startswith("file:/") and not base.startswith("file://") else base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: its lineage ends there."""
+    """df, written once to the shared folder and read again: its lineage ends there. The folder goes with ``discard``, or when the driver ends."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if not _staged:
+        atexit.register(_sweep)
+    _staged.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+_staged: set[str] = set()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path in _staged:
+            _staged.discard(path)
+            fs, where = _hadoop(df.sparkSession, path)
+            fs.delete(where, True)
+
+
+def _sweep() -> None:
+    """Removes what is left of them when the driver ends."""
+    for path in sorted(_staged):
+        try:
+            fs, where = filesystem(path)
+            fs.delete_dir(where)
+        except OSError:  # the store is gone, or something else removed it
+            pass
+    _staged.clear()
 
 
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, usable on driver and executors."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
 
 
@@ -80,16 +127,27 @@ _held: dict[str, tuple] = {}
 
 
 def held(name: str, make: Callable):
-    """What a worker remembers for one model, made anew for another: no more than one is kept at a time."""
+    """What a worker remembers for one model or tokenizer, made anew for another: no more than one is kept at a time."""
     if "one" not in _held or _held["one"][0] != name:
-        _held.clear()
+        release()
         _held["one"] = (name, make())
     return _held["one"][1]
 
 
 def release() -> None:
-    """Forgets it, before work that needs none."""
-    _held.clear()
+    """Forgets it, before work that needs none, and gives freed memory back to the system."""
+    if _held:
+        _held.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+# The C library keeps freed memory for later; a worker that goes from one kind of work to another does not need it.
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):
+    _trim = None
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
@@ -109,10 +167,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = end
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str = "text", most: int = 1 << 23) -> DataFrame:
-    """fn over Arrow batches of at most ``most`` bytes of a column, of each partition."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str = "text", most: int = 1 << 22, keeps: bool = True) -> DataFrame:
+    """fn over Arrow batches of at most ``most`` bytes of a column, of each partition. keeps: fn uses what the worker holds; else that is released first."""
 
     def run(batches):
+        if not keeps:
+            release()
         for part in slices(batches, column, most):
             out = fn(part)
             if out is not None and out.num_rows:

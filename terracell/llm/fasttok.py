@@ -3,7 +3,8 @@
 A tokenizer of the ``tokenizers`` library is split into its two halves: cutting a text into
 pieces (the pre-tokenizer's pattern) and encoding a piece.  Cutting is done for a whole batch of
 texts with array operations on character classes.  Encoding is done by the library itself, once for
-each distinct piece a worker meets; the ids are kept in a bounded open-addressing table.
+each distinct piece a worker meets; the ids are kept in a bounded open-addressing table.  A piece is
+found by a hash and then compared with the one kept, character by character.
 
 Only characters whose class is beyond doubt take the array path (``TRUSTED``).  A text with any
 other character, or with the string of a special token, is given to the library as a whole.
@@ -18,6 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 U64 = np.uint64
@@ -26,8 +29,8 @@ SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 TRUSTED = ((0x0000, 0x0130), (0x0131, 0x0180), (0x2010, 0x2028), (0x4E00, 0x9FA6))
 #: White space of the tokenizers' patterns among the trusted code points.
 WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0}
-#: Characters of a batch that are worked on at a time, and pieces kept before the table starts anew.
-BATCH_CHARS, MAX_PIECES = 1 << 19, 1 << 21
+#: Characters of a batch that are worked on at a time; pieces, and characters or ids of them, kept before the table starts anew.
+BATCH_CHARS, MAX_PIECES, MAX_HELD = 1 << 19, 1 << 18, 1 << 23
 
 
 @lru_cache(maxsize=1)
@@ -222,6 +225,8 @@ class Encoder:
         self.index, self.count = HashIndex(), 0
         self.at, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        #: Characters of the pieces, one after another, and where each piece begins; one more is where the next will.
+        self.codes, self.code_at = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64)
 
     def _learn(self, h: np.ndarray, words: list[str]) -> None:
         ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -237,9 +242,20 @@ class Encoder:
         self.index.add(h, np.arange(own.start, own.stop, dtype=np.int32))
         self.used, self.count = self.used + len(got), own.stop
 
-    def lookup(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The table's number of each piece; pieces not met before are learnt."""
-        if self.count > MAX_PIECES:
+    def _keep(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Keeps the characters of pieces that were just learnt."""
+        n = ends - starts
+        first, held = self.count - len(n), int(self.code_at[self.count - len(n)])
+        while self.count + 1 > len(self.code_at):
+            self.code_at = np.concatenate((self.code_at, np.zeros_like(self.code_at)))
+        while held + int(n.sum()) > len(self.codes):
+            self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)))
+        self.code_at[first + 1 : self.count + 1] = held + np.cumsum(n)
+        self.codes[held : held + int(n.sum())] = x[ragged(starts, n)]
+
+    def lookup(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The table's number of each piece, pieces not met before being learnt; and the places of pieces that the number does not stand for, as their hash is another's."""
+        if self.count > MAX_PIECES or max(self.used, self.code_at[self.count]) > MAX_HELD:
             self._anew()
         h = self.hash.spans(self.hash.prefix(x), starts, ends)
         found = self.index.find(h)
@@ -249,17 +265,32 @@ class Encoder:
             first = miss[first]
             raw, width, code = x.tobytes(), x.itemsize, "latin-1" if x.itemsize == 1 else "utf-16-le"
             self._learn(new, [raw[a:b].decode(code) for a, b in zip((starts[first] * width).tolist(), (ends[first] * width).tolist())])
+            self._keep(x, starts[first], ends[first])
             found[miss] = self.index.find(h[miss])
-        return found
+        n = ends - starts
+        kept = self.code_at[found + 1] - self.code_at[found]
+        least = np.minimum(n, kept)
+        same = self.codes[ragged(self.code_at[found], least)] == x[ragged(starts, least)]
+        if same.all() and (n == kept).all():
+            return found, np.zeros(0, np.int64)
+        wrong = n != kept
+        wrong[np.repeat(np.arange(len(n)), least)[~same]] = True
+        return found, np.flatnonzero(wrong)
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         x, starts, ends, breaks = self.pieces.cut(texts)
-        number = self.lookup(x, starts, ends)
+        number, wrong = self.lookup(x, starts, ends)
         n = self.len[number].astype(np.int64)
         n[breaks] = 0
         ids = self.flat[ragged(self.at[number], n)]
         upto = np.cumsum(n)[breaks]
-        return np.split(ids, upto[:-1])
+        out = np.split(ids, upto[:-1])
+        for k in np.unique(np.searchsorted(breaks, wrong)).tolist():
+            out[k] = self._whole_text(texts[k])
+        return out
+
+    def _whole_text(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -272,7 +303,7 @@ class Encoder:
                     self._flush(texts, todo, out)
                     todo, size = [], 0
             else:
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+                out[i] = self._whole_text(text)
         self._flush(texts, todo, out)
         return out
 
@@ -282,7 +313,6 @@ class Encoder:
                 out[i] = ids
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker, kept between tasks."""
-    return Encoder(path)
+    """The worker's encoder of a file, kept between tasks that use it."""
+    return held(f"encoder {path}", lambda: Encoder(path))

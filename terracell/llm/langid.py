@@ -6,8 +6,9 @@ the model: they set the temperature of the score and, per language, the cross-en
 document is rejected as written in none of them.
 
 ``identify`` reads every text whole.  A language's cross-entropy is the bits that its model takes for
-all words of the text, by their characters; the lowest names the language.  Words are scored once for
-each worker and remembered.
+all words of the text, by their characters; the lowest names the language.  Words, runs of letters and
+the marks on them, are found for a batch of texts at once.  A worker remembers the bits of words and, for
+new words, those of characters after their contexts, in tables of at most HELD_BYTES each.
 
 Cases: a null text or one without letters is ``und`` with score 0 and is rejected; ties go to the first
 language in ascending order; a null language teaches nothing, nor does a null id; with nothing to
@@ -16,21 +17,18 @@ learn from, every text is ``und``; repeated rows each get their row.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .charlm import CharModel
+from .charlm import ORDER, CharModel, padded
 from .common import held, map_batches, slices
+from .fasttok import HashIndex
+from .words import LETTER, codes, hashes, kinds, portions, word_counts, words
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Words remembered by a worker before it starts anew.
-MAX_WORDS = 1 << 19
+#: Bytes of what a worker remembers of words, and of characters, before it starts anew.
+HELD_BYTES = 1 << 24
 UNKNOWN = "und"
 
 
@@ -60,47 +58,70 @@ class LanguageModels:
         entropy = bits / np.maximum(chars, 1)[:, None]
         best = entropy.argmin(axis=1)
         low = entropy[np.arange(len(best)), best]
-        z = np.exp2(-(entropy - low[:, None]) * self.sharpness * np.minimum(chars, 1000)[:, None])
+        z = np.exp2(-(entropy - low[:, None]) * self.sharpness * chars[:, None])
         score = 1 / z.sum(axis=1)
         limit = self.mean[best] + self.margin + self.errors * self.spread[best] / np.sqrt(np.maximum(chars, 1))
         return best, score, low > limit
 
 
-class Scorer:
-    """Bits of whole texts under all models; the bits of words are remembered."""
+class Memory:
+    """Rows of bits by hash, in bounded memory."""
 
-    def __init__(self, models: LanguageModels):
-        self.models = models
+    def __init__(self, columns: int):
+        self.columns = columns
         self._anew()
 
     def _anew(self) -> None:
-        self.number: dict[str, int] = {}
-        self.bits = np.zeros((1 << 12, len(self.models.languages)))
+        self.index, self.rows = HashIndex(12), np.zeros((1 << 10, self.columns))
 
-    def _learn(self, words: list[str]) -> None:
-        n = len(self.number)
-        while n + len(words) > len(self.bits):
-            self.bits = np.concatenate((self.bits, np.zeros_like(self.bits)))
-        for k, m in enumerate(self.models.models):
-            self.bits[n : n + len(words), k] = m.word_bits(words)
-        self.number.update(zip(words, range(n, n + len(words))))
+    def rows_of(self, h: np.ndarray, make) -> np.ndarray:
+        """The number of each hash's row; make gives the rows of those at some places of h that are not held."""
+        # A row, its place in the hash table, twice as large, and their doubles while they grow.
+        if self.index.n * (16 * self.columns + 48) > HELD_BYTES:
+            self._anew()
+        number = self.index.find(h)
+        miss = np.flatnonzero(number < 0)
+        if len(miss):
+            new, place = np.unique(h[miss], return_index=True)
+            n = self.index.n
+            while n + len(new) > len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.rows[n : n + len(new)] = make(miss[place])
+            self.index.add(new, np.arange(n, n + len(new), dtype=np.int32))
+            number[miss] = self.index.find(h[miss])
+        return number
+
+
+class Scorer:
+    """Bits of whole texts under all models."""
+
+    def __init__(self, models: LanguageModels):
+        self.models = models
+        self.words, self.chars = Memory(len(models.languages)), Memory(len(models.languages))
+
+    def _bits(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(words, languages) bits of the words in x."""
+        y, at, word = padded(x, starts, ends)
+        h = hashes().spans(hashes().prefix(y), at - ORDER + 1, at + 1)
+        number = self.chars.rows_of(h, lambda new: np.stack([m.bits_at(y, at[new]) for m in self.models.models], axis=1))
+        return np.stack([np.bincount(word, self.chars.rows[number, k], len(starts)) for k in range(self.chars.columns)], axis=1)
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) bits, and the characters scored: letters and one end a word."""
-        if len(self.number) > MAX_WORDS:
-            self._anew()
-        counts = [Counter(WORD.findall(t.lower())) if t else {} for t in texts]
-        new = list(dict.fromkeys(w for c in counts for w in c if w not in self.number))
-        for i in range(0, len(new), 1 << 15):
-            self._learn(new[i : i + (1 << 15)])
-        bits, chars = np.zeros((len(texts), self.bits.shape[1])), np.zeros(len(texts))
-        get = self.number.__getitem__
-        for i, c in enumerate(counts):
-            # Superscripts and fractions are word characters, but no letters.
-            if c and any(x.isalpha() for w in c for x in w):
-                n = np.fromiter(c.values(), np.float64, len(c))
-                bits[i] = n @ self.bits[np.fromiter(map(get, c), np.int64, len(c))]
-                chars[i] = n @ (np.fromiter(map(len, c), np.float64, len(c)) + 1)
+        """(texts, languages) bits, and the characters scored: letters and one end a word; none for a text without letters."""
+        bits, chars = np.zeros((len(texts), self.words.columns)), np.zeros(len(texts))
+        for at, low in portions(texts):
+            own = slice(at, at + len(low))
+            bits[own], chars[own] = self._portion(low)
+        return bits, chars
+
+    def _portion(self, low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        x, first = codes(low)
+        starts, ends = words(x)
+        number = self.words.rows_of(hashes().spans(hashes().prefix(x), starts, ends), lambda new: self._bits(x, starts[new], ends[new]))
+        owner = np.searchsorted(first, starts, side="right") - 1
+        bits = np.stack([np.bincount(owner, self.words.rows[number, k], len(low)) for k in range(self.words.columns)], axis=1)
+        chars = np.bincount(owner, ends - starts + 1, len(low))
+        chars[~np.logical_or.reduceat(kinds()[x] & LETTER != 0, first[:-1])] = 0
         return bits, chars
 
 
@@ -119,16 +140,15 @@ def train(docs: DataFrame, learnable: Column, sample: int = 400, seed: int = 4,
     rate = F.create_map(*[F.lit(v) for k in sorted(sizes) for v in (k, min(0.8, sample / sizes[k]))])[F.col(lang_col)]
     rows = known.select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rate.alias("rate"), unit_hash(id_col, seed=seed).alias("u"))
 
-    def words(batches):
-        found: dict[str, Counter] = {}
+    def counted(batches):
         for batch in slices(batches):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                found.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        for lang, c in found.items():
-            if c:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
+            lang = np.array(batch.column("lang").to_pylist())
+            texts_of = batch.column("text").to_pylist()
+            for k in np.unique(lang).tolist():
+                found, n = word_counts([t for t, own in zip(texts_of, (lang == k).tolist()) if own])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    taught = rows.where("u < rate").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    taught = rows.where("u < rate").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for r in taught.toLocalIterator():  # bounded by the sample
         counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
@@ -164,10 +184,10 @@ def _calibrate(models: LanguageModels, rows: DataFrame) -> None:
             models.mean[k] = np.median(entropy.min(axis=1))
 
     def loss(sharpness: float) -> float:
-        z = -(entropy * np.minimum(chars, 1000)[:, None]) * sharpness * np.log(2)
+        z = -(entropy * chars[:, None]) * sharpness * np.log(2)
         return float(np.mean(np.logaddexp.reduce(z, axis=1) - z[np.arange(len(true)), true]))
 
-    models.sharpness = min((0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0), key=loss)
+    models.sharpness = min((0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0), key=loss)
 
 
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,17 +11,23 @@ similarity.  ROWS draws make a band.
 2. Classes that share a band meet in its bucket.  Each bucket elects as leader the member that meets
    most others over all bands, the likeliest original among copies, and its members are verified
    against it: a row a member, never all pairs.
-3. A member that the leader did not confirm may still be like another member.  Where verified links
-   have not already joined the two and enough of all their draws agree, they are verified as well, so
-   no link that joins texts is lost but by the odds of the draws.
+3. A member that the leader did not confirm may still be like another member, of another component of
+   the links found so far.  Such members are dealt out once more, within their bucket, by SUBS groups
+   of six draws of a longer sketch: two texts of similarity 0.8 have one in common but for odds of one
+   in a million.  Those that do, and whose sketches agree in enough of all draws, are verified as well,
+   so no link that joins texts is lost but by the odds of the draws.
 4. Connected components of the verified links by propagating the smallest id along links and pointers,
    with a written table each round.
 
-Words are runs of letters, digits and other non-separating characters, in lower case; a text of one to
-four words is one shingle.  Cases: null, empty and wordless texts are alike only in having no shingle
-and stay alone; repeated rows each get their row, and so do different texts with one id, each of its own
+A bucket may hold a third of all classes.  What is counted by bucket is added up before the shuffle, and
+buckets are joined as written tables, so that adaptive execution can split a large one.
+
+Words are runs of letters, digits and marks in lower case, and single characters of scripts written
+without spaces; quotes and other punctuation separate them, whatever their form.  A text of one to four
+words is one shingle.  Cases: null, empty and wordless texts are alike only in having no shingle and
+stay alone; repeated rows each get their row, and so do different texts with one id, each of its own
 class; texts without ids are compared as others are, but a group without any id has no class_id; an
-empty table gives no rows.
+empty table gives no rows; other columns of whatever name are left out.
 """
 
 from __future__ import annotations
@@ -33,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions, release, slices, staged, texts
+from .common import discard, map_batches, partitions, release, slices, staged, texts
 from .fasttok import U64
+from .words import ALNUM, LETTER, MARK, UNSPACED, codes, hashes, kinds
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a band with probability 0.9996, at 0.5 with 0.62, at 0.3 with 0.11.
@@ -42,6 +49,9 @@ BANDS, ROWS = 15, 4
 #: Draws of a sketch, kept as four bits each, and how many may differ before two texts are no candidates:
 #: at similarity 0.8 fewer than one pair in a million differs in more, at 0.6 nearly all do.
 SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 80
+#: Draws of a sketch that are compared together, and how many such groups it has.
+SUB = 6
+SUBS = SKETCH // SUB
 CELL_BITS = 20
 #: The rarest shingle weighs 1 + SPREAD times the commonest.  Copies are counted in the frequencies, so what a
 #: group shares weighs least and each copy's edits most: a pair of plain Jaccard similarity j has at least
@@ -52,16 +62,6 @@ BATCH = 1 << 20
 BLOCK_BITS = 14
 
 
-@lru_cache(maxsize=1)
-def _word_bytes() -> np.ndarray:
-    """Value of each byte in a word's hash; 0 separates words."""
-    v = np.random.default_rng(55).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-    for b in range(128):
-        if not chr(b).isalnum():
-            v[b] = 0
-    return v
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U64(32))
     h = h * U64(0xD6E8FEB86659FD93)
@@ -70,25 +70,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x2545F4914F6CDD1D
-    with np.errstate(over="ignore"):
-        return (np.cumprod(np.concatenate(([U64(1)], np.full(n - 1, base, U64)))), np.cumprod(np.concatenate(([U64(1)], np.full(n - 1, pow(base, -1, 1 << 64), U64)))))
+def words(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the words in code points."""
+    kind = np.append(kinds()[x], np.uint8(0))
+    inside = kind & (ALNUM | MARK) != 0
+    alone = inside & (kind & UNSPACED != 0) & (kind & (LETTER | MARK) != 0)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | alone[1:] | alone[:-1]
+    ends = inside[:-1] & (~inside[1:] | begins[1:])
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, hash and count of each distinct shingle, in order of both."""
-    raw = [t.lower().encode() for t in texts]
-    flat = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    value = _word_bytes()[flat]
-    up, down = _powers(1 << max(20, int(len(flat)).bit_length()))
-    prefix = np.concatenate((np.zeros(1, U64), np.cumsum(value * up[: len(flat)])))
-    inside = value != 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    word = _mix((prefix[end] - prefix[start]) * down[start])
-    first = np.cumsum([0] + [len(r) + 1 for r in raw])
+    x, first = codes([t.lower() for t in texts])
+    start, end = words(x)
+    word = hashes().spans(hashes().prefix(x), start, end)
     at = np.searchsorted(start, first)
     count = np.diff(at)
     # A text of n words has max(1, n - 4) shingles; its last ones would run into the next text.
@@ -198,17 +195,20 @@ def bands(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """(n, SLICES * SKETCH / 64): four bits of each of SKETCH further draws, 64 draws and one bit of each to a number."""
-    words = SKETCH // 64
-    out = np.zeros((n, words * SLICES), np.uint64)
+def sketches(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, SLICES * SKETCH / 64): four bits of each of SKETCH further draws, 64 draws and one bit of each to a number; and (n, SUBS): those of SUB draws together."""
+    out, subs = np.zeros((n, SKETCH // 64 * SLICES), np.uint64), np.zeros((n, SUBS), np.int32)
     if len(h):
         place = np.unique(own)
         for k, drawn in _draws(own, h, w, range(1000, 1000 + SKETCH)):
             word, bit = divmod(k - 1000, 64)
             for i in range(SLICES):
                 out[place, word * SLICES + i] |= ((drawn >> U64(7 * i + 3)) & U64(1)) << U64(bit)
-    return out.view(np.int64)
+            group, i = divmod(k - 1000, SUB)
+            if group < SUBS:
+                nibble = sum(((drawn >> U64(7 * j + 3)) & U64(1)) << U64(j) for j in range(SLICES))
+                subs[place, group] |= (nibble << U64(SLICES * i)).astype(np.int32)
+    return out.view(np.int64), subs
 
 
 def differing(one: list, two: list):
@@ -253,25 +253,26 @@ def similarities(pairs_a: list[str], pairs_b: list[str], frequencies: np.ndarray
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root): the smallest id of each id's component, for links (a, b).
+    """(id, root, before): the smallest id of each id's component, for links (a, b).
 
     Each round every id takes the least root among its own and its neighbours', and then the root of
     that root; the table is written each round.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = staged(both, "links")
-    roots = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root"), "roots")
+    roots = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root", F.lit(0).cast("long").alias("before")), "roots")
     for _ in range(rounds):
         # Least root among neighbours, offered to the id and to its present root (hooking).
         near = both.join(roots.select(F.col("id").alias("b"), F.col("root").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        offered = roots.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
+        offered = roots.drop("before").join(near.withColumnRenamed("a", "id"), "id", "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
         hooked = offered.groupBy(F.col("root").alias("id")).agg(F.min("low").alias("hook"))
         stepped = offered.join(hooked, "id", "left").select("id", F.least("low", F.coalesce("hook", "low")).alias("low"), "root")
         jump = stepped.select(F.col("id").alias("low"), F.col("low").alias("far"))
         new = staged(stepped.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("root"), F.col("root").alias("before")), "roots")
-        moved = new.where("root <> before").limit(1).count()
-        roots = new.select("id", "root")
-        if not moved:
+        discard(roots)
+        roots = new
+        if not roots.where("root <> before").limit(1).count():
+            discard(both)
             return roots
     raise RuntimeError("components did not settle")
 
@@ -282,7 +283,7 @@ def mark(text):
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, digest, ...), a row a document, and (digest, copy_of, first, n_links), a row a class of equal texts.
+    """(doc_id, mark, digest, ...), a row a document, and (digest, copy_of, first), a row a class of equal texts.
 
     first is the (without, doc_id, mark) of the document with the smallest id of the class's group of
     near-duplicates; without is true and doc_id null if none of them has an id. The digest of texts
@@ -301,24 +302,21 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * b.shape[1], pa.int32()), pa.array(b.ravel()))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(_digest(own, h, count, batch.num_rows), pa.binary()), lists], ["doc_id", "mark", "digest", "bands"])
 
-    def signed(batches):
-        for batch in slices(batches, most=BATCH):
-            yield sign(batch)
-
     # A text without shingles keeps a digest of its own: it is nobody's copy.
-    signs = staged(rows.mapInArrow(signed, "doc_id long, mark binary, digest binary, bands array<long>"), "signatures")
+    signs = staged(map_batches(rows, sign, "doc_id long, mark binary, digest binary, bands array<long>", most=BATCH, keeps=False), "signatures")
     some = signs.where(F.octet_length("digest") > 0)
     # A class goes by 64 bits of its digest, not by an id, which texts may share or lack: among 15 million, two are the same with odds of 1 in 160,000.
     one = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark")).alias("one")
     classes = staged(some.groupBy("digest").agg(one, F.first("bands").alias("bands")).withColumn("id", F.xxhash64("digest")), "classes")
     members = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = staged(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     shared = staged(members.join(sizes, ["band", "key"]), "shared")
     # The member that meets most others over all bands is the likeliest original of copies that differ from each other.
-    central = shared.groupBy("id").agg(F.sum("n").alias("meets"))
-    shared = shared.drop("n").join(central, "id")
-    leaders = shared.groupBy("band", "key").agg(F.max_by("id", F.struct("meets", F.bitwise_not("id"))).alias("leader"))
-    met = staged(shared.drop("meets").join(leaders, ["band", "key"]).where("id <> leader"), "met")
+    meets = shared.groupBy("id").agg(F.sum("n").alias("meets"))
+    central = staged(shared.drop("n").join(meets, "id"), "central")
+    leaders = staged(central.groupBy("band", "key").agg(F.max_by("id", F.struct("meets", F.bitwise_not("id"))).alias("leader")), "leaders")
+    met = staged(central.drop("meets").join(leaders, ["band", "key"]).where("id <> leader"), "met")
+    done = [sizes, shared, central, leaders, met]
 
     wanted = met.select("id").union(met.select(F.col("leader").alias("id"))).distinct()
     # A text of each class that met any other: that of its first document.
@@ -326,6 +324,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
     wanted = classes.select("id", F.col("one.doc_id").alias("of"), F.col("one.mark").alias("its")).join(wanted, "id")
     held = rows.join(wanted.hint("merge"), rows["doc_id"].eqNullSafe(wanted["of"]) & (rows["mark"] == wanted["its"])).groupBy("id").agg(F.min("text").alias("text"))
     held = staged(held, "met-texts")
+    done.append(held)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b, similar) for distinct pairs (a, b)."""
@@ -335,54 +334,75 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
             s = similarities(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), *sent.value)
             return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s >= similarity)], ["a", "b", "similar"])
 
-        return staged(map_batches(beside.select("a", "b", "text_a", "text_b"), run, "a long, b long, similar boolean", "text_b", BATCH), "verified")
+        out = staged(map_batches(beside.select("a", "b", "text_a", "text_b"), run, "a long, b long, similar boolean", "text_b", BATCH, keeps=False), "verified")
+        done.append(out)
+        return out
 
     least, most = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
     tested = verified(met.select(least, most).distinct())
     links = tested.where("similar").select("a", "b")
     roots = components(links)
+    more = _rest(met, tested, roots, held, sent, done)
+    if more is not None:
+        links = links.union(verified(more).where("similar").select("a", "b"))
+        done.append(roots)
+        roots = components(links)
+
+    first = roots.join(classes.select("id", "one"), "id").groupBy("root").agg(F.min("one").alias("first"))
+    named = classes.select("id", "digest", "one").join(roots, "id", "left").join(first, "root", "left")
+    discard(*done)
+    return signs, named.select("digest", F.col("one.doc_id").alias("copy_of"), F.coalesce("first", "one").alias("first"))
+
+
+def _rest(met: DataFrame, tested: DataFrame, roots: DataFrame, held: DataFrame, sent, done: list[DataFrame]) -> DataFrame | None:
+    """(a, b): pairs of a bucket that may be similar, one of them not confirmed by its leader, and that no links join yet. None if there are none."""
+    by = ["band", "key"]
+    pair = {"a": F.least("id", "leader"), "b": F.greatest("id", "leader")}
+    placed = staged(met.withColumns(pair).join(tested, ["a", "b"]).select("id", *by, (~F.col("similar")).alias("failed")).join(roots.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
+    # Buckets whose members are not all of one component and hold a member that failed.
+    mixed = placed.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("failed").alias("any")).where("low <> high AND any").select(*by)
+    there = staged(placed.join(staged_as(mixed, "mixed", done), by), "there")
+    done += [placed, there]
+    if not there.limit(1).count():
+        return None
 
-    # Members that their bucket's leader did not confirm, beside the bucket's members of other components.
     def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, h, count = shingles(batch.column("text").to_pylist())
-        words = sketches(own, h, weigh(*sent.value, h, count), batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(words[:, i]) for i in range(words.shape[1]))], ["id", *names])
+        words, subs = sketches(own, h, weigh(*sent.value, h, count), batch.num_rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * SUBS, pa.int32()), pa.array(subs.ravel()))
+        return pa.RecordBatch.from_arrays([batch.column("id"), lists, *(pa.array(words[:, i]) for i in range(words.shape[1]))], ["id", "subs", *names])
 
     names = [f"s{i}" for i in range(SLICES * SKETCH // 64)]
-    keys = [f"k{i}" for i in range(BANDS)]
-    drawn = map_batches(held, sketched, "id long, " + ", ".join(f"{c} long" for c in names), most=BATCH)
-    drawn = staged(drawn.join(classes.select("id", *[F.col("bands")[i].alias(c) for i, c in enumerate(keys)]), "id"), "sketches")
-    failed = met.select("band", "key", "id", least, most).join(links, ["a", "b"], "left_anti").select("band", "key", "id")
-    about = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(drawn, "id")
-    left = about(failed).select("band", "key", F.col("id").alias("x"), F.col("root").alias("root_x"), *[F.col(c).alias(f"x{c}") for c in names + keys])
-    there = about(met.select("band", "key", "id").join(failed.withColumn("failed", F.lit(True)), ["band", "key", "id"], "left"))
-    alike = differing([F.col(c) for c in names], [F.col(f"x{c}") for c in names]) <= MOST_DIFFERENT
-    # Each pair once: in the first band that it shares, and from its smaller id where both failed there.
-    first = F.coalesce(*[F.when(F.col(c) == F.col(f"x{c}"), i) for i, c in enumerate(keys)]) == F.col("band")
-    once = (F.col("x") < F.col("id")) | F.col("failed").isNull()
-    rest = left.join(there, ["band", "key"]).where((F.col("root") != F.col("root_x")) & first & once & alike)
-    rest = rest.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(rest).where("similar").select("a", "b")
-    if more.limit(1).count():
-        links = links.union(more)
-        roots = components(links)
-
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    first = roots.join(classes.select("id", "one"), "id").groupBy("root").agg(F.min("one").alias("first"))
-    named = classes.select("id", "digest", "one").join(roots, "id", "left").join(first, "root", "left").join(degree, "id", "left")
-    return signs, named.select("digest", F.col("one.doc_id").alias("copy_of"), F.coalesce("first", "one").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    asked = held.join(there.select("id").distinct(), "id")
+    drawn = staged_as(map_batches(asked, sketched, "id long, subs array<int>, " + ", ".join(f"{c} long" for c in names), most=BATCH, keeps=False), "sketches", done)
+    dealt = there.join(drawn.select("id", F.posexplode("subs").alias("group", "sub")), "id")
+    dealt = staged_as(dealt, "dealt", done)
+    key = [*by, "group", "sub"]
+    left = dealt.where("failed").select(*key, F.col("id").alias("x"), F.col("root").alias("root_x"))
+    pairs = left.join(dealt, key).where((F.col("root") != F.col("root_x")) & ((F.col("x") < F.col("id")) | ~F.col("failed")))
+    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    side = lambda c: drawn.select(F.col("id").alias(c), *[F.col(s).alias(f"{c}{s}") for s in names])
+    alike = differing([F.col(f"a{s}") for s in names], [F.col(f"b{s}") for s in names]) <= MOST_DIFFERENT
+    pairs = staged_as(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "candidates", done)
+    return pairs if pairs.limit(1).count() else None
+
+
+def staged_as(df: DataFrame, name: str, done: list[DataFrame]) -> DataFrame:
+    """df, staged, and listed among what goes in the end."""
+    out = staged(df, name)
+    done.append(out)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, copy_of, n_links): a row a document.
+    """(doc_id, class_id, copy_of): a row a document.
 
     class_id is the smallest document id of its group of near-duplicates, copy_of that of the documents
-    with the same weighted shingles, n_links the number of verified links of that class.
+    with the same weighted shingles.
     """
     signs, named = groups(docs, similarity, id_col, text_col)
     out = signs.select("doc_id", "digest").join(named, "digest", "left")
-    return out.select("doc_id", F.coalesce("first.doc_id", "copy_of", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.coalesce("first.doc_id", "copy_of", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
 
 
 def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,8 +4,10 @@ Within a piece of the pre-tokenizer's pattern, byte-pair encoding has this prope
 prefix ends in exactly one token t such that the rest's encoding ends in a token that may stand before
 t.  Two tokens may stand side by side if and only if no merge across their boundary would come before
 the merges that made them.  So ``count[i] = count[i - len(t)] + 1``, position by position, and one pass
-over a piece gives the counts of all its prefixes.  The pass runs over all new pieces of a batch at
-once; pieces met before keep their counts in a bounded table.
+over a piece gives the counts of all its prefixes.  Where tokens match is found for all positions at
+once, a byte more at a time for as long as any token begins so.  The pass runs over all new pieces of a
+batch at once, but pieces of more than LONG bytes are walked one by one; either way its work is
+proportional to the matches.  Pieces met before keep their counts in a bounded table.
 
 A text's prefix counts are then the tokens before a piece plus the counts inside it.  A prefix that
 ends inside a piece may be cut differently by the pattern; the three cases are set right explicitly:
@@ -20,16 +22,20 @@ their row; an empty table gives no rows.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import held, map_batches, texts
 from .fasttok import BATCH_CHARS, LETTER, SPACE, U64, Encoder, HashIndex, SpanHash, ragged
 
+#: Bytes of a piece beyond which it is walked alone, and of it that are matched at a time.
+LONG, STRETCH = 256, 1 << 16
+#: Pairs of tokens remembered before the memory starts anew.
+MAX_PAIRS = 1 << 18
+
 
 def byte_of() -> dict[str, int]:
     """The byte that each printable character of a byte-level vocabulary stands for."""
@@ -63,14 +69,23 @@ class MergeTable:
         self.pairs.add(self._mix(np.array(pair_key, np.uint64)), np.array(pair_rank, np.int32))
         words = [bytes(to_byte[c] for c in w) for w in vocab if all(c in to_byte for c in w)]
         ids = [vocab[w] for w in vocab if all(c in to_byte for c in w)]
+        self.merge_key, self.merge_rank = pair_key, pair_rank
+        # All beginnings of tokens; 0 where a beginning is no token, else the token's id and 1.
         self.hash = SpanHash(256, 7)
         flat = np.frombuffer(b"".join(words), np.uint8)
         n = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(n)
-        self.tokens = HashIndex(18)
-        self.tokens.add(self.hash.spans(self.hash.prefix(flat), ends - n, ends), np.array(ids, np.int32))
-        self.longest = int(n.max())
+        first = np.cumsum(n) - n
+        word = np.repeat(np.arange(len(words)), n)
+        size = np.arange(len(flat)) - first[word] + 1
+        value = np.where(size == n[word], np.array(ids, np.int64)[word] + 1, 0)
+        key = self.hash.spans(self.hash.prefix(flat), first[word], first[word] + size)
+        order = np.lexsort((-value, key))
+        key, value = key[order], value[order]
+        new = np.append(True, key[1:] != key[:-1])
+        self.begins = HashIndex(18)
+        self.begins.add(key[new], value[new].astype(np.int32))
         self.known = HashIndex(16)
+        self._lists: tuple | None = None
 
     @staticmethod
     def _mix(key: np.ndarray) -> np.ndarray:
@@ -80,7 +95,7 @@ class MergeTable:
 
     def adjoin(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether token b may directly follow token a; remembered pair by pair."""
-        if self.known.n > 1 << 21:
+        if self.known.n > MAX_PAIRS:
             self.known = HashIndex(16)
         key = self._mix((a.astype(np.uint64) << U64(32)) | b.astype(np.uint64))
         out = self.known.find(key)
@@ -112,39 +127,106 @@ class MergeTable:
             due[y], b[y] = rb[~first] + 1, self.left[b[y]]
         return ok
 
+    def matches(self, flat: np.ndarray, prefix: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and id of every token that stands in flat at one of the positions, within the bytes left there."""
+        starts, lengths, tokens, n = [], [], [], 1
+        while len(at):
+            found = self.begins.find(self.hash.spans(prefix, at, at + n))
+            whole = found > 0
+            starts.append(at[whole])
+            lengths.append(np.full(int(whole.sum()), n, np.int32))
+            tokens.append(found[whole] - 1)
+            n += 1
+            more = (found >= 0) & (room >= n)
+            at, room = at[more], room[more]
+        if not starts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(tokens)
+
     def counts(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Token counts of all prefixes (1 byte to the whole) of the pieces whose bytes follow one another in flat."""
-        start = np.cumsum(n) - n
-        prefix = self.hash.prefix(flat)
+        count = np.zeros(len(flat), np.int32)
+        first = np.cumsum(n) - n
+        for k in np.flatnonzero(n > LONG).tolist():
+            own = slice(int(first[k]), int(first[k] + n[k]))
+            count[own] = self._walk(flat[own])
+        short = np.flatnonzero(n <= LONG)
+        if len(short) < len(n):
+            place = ragged(first[short], n[short])
+            count[place] = self._together(flat[place], n[short])
+        else:
+            count = self._together(flat, n)
+        return count
+
+    def _together(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """counts of short pieces, position by position in all of them at once."""
         last, count = np.full(len(flat), -1, np.int64), np.zeros(len(flat), np.int32)
-        order = np.argsort(-n, kind="stable")
-        sizes = n[order]
-        alive = len(order)
-        for i in range(1, int(n.max(initial=0)) + 1):
-            alive = int(np.searchsorted(-sizes, -i, side="right"))
-            base = start[order[:alive]]
-            todo = np.arange(alive)
-            for length in range(min(i, self.longest), 0, -1):
-                at = base[todo] + i
-                token = self.tokens.find(self.hash.spans(prefix, at - length, at))
-                hit = np.flatnonzero(token >= 0)
-                if not hit.size:
-                    continue
-                end = at[hit] - 1
-                if length < i:
-                    stands = self.adjoin(last[end - length], token[hit])
-                    hit, end = hit[stands], end[stands]
-                    count[end] = count[end - length] + 1
-                else:
-                    count[end] = 1
-                last[end] = token[hit]
-                rest = np.ones(len(todo), bool)
-                rest[hit] = False
-                todo = todo[rest]
-                if not todo.size:
-                    break
+        if not len(flat):
+            return count
+        inside = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        at, length, token = self.matches(flat, self.hash.prefix(flat), np.arange(len(flat)), np.repeat(n, n) - inside)
+        # In order of the place in a piece at which they end, and of length.
+        step = (inside[at] + length) * (LONG + 1) + length
+        order = np.argsort(step, kind="stable")
+        at, length, token, step = at[order], length[order], token[order], step[order]
+        cuts = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(step)).tolist()):
+            size = int(length[a])
+            start, t = at[a:b], token[a:b]
+            open_ = last[start + size - 1] < 0
+            start, t = start[open_], t[open_]
+            if inside[start[0]] if len(start) else 0:
+                stands = self.adjoin(last[start - 1], t)
+                start, t = start[stands], t[stands]
+                count[start + size - 1] = count[start - 1] + 1
+            else:
+                count[start + size - 1] = 1
+            last[start + size - 1] = t
         return count
 
+    def _walk(self, flat: np.ndarray) -> np.ndarray:
+        """counts of one long piece, front to back."""
+        if self._lists is None:
+            self._lists = (self.rank.tolist(), self.left.tolist(), self.right.tolist(), dict(zip(self.merge_key, self.merge_rank)), {})
+        known = self._lists[4]
+        size, prefix = len(flat), self.hash.prefix(flat)
+        last, count = [-1] * (size + 1), [0] * (size + 1)
+        for a in range(0, size, STRETCH):
+            at = np.arange(a, min(size, a + STRETCH))
+            at, length, token = self.matches(flat, prefix, at, size - at)
+            order = np.argsort(at, kind="stable")
+            for i, n, t in zip(at[order].tolist(), length[order].tolist(), token[order].tolist()):
+                if last[i + n] >= 0:
+                    continue
+                if i:
+                    key = (last[i] << 32) | t
+                    stands = known.get(key)
+                    if stands is None:
+                        if len(known) >= MAX_PAIRS:
+                            known.clear()
+                        stands = known[key] = self._stands_one(last[i], t)
+                    if not stands:
+                        continue
+                last[i + n] = t
+                count[i + n] = count[i] + 1
+        return np.array(count[1:], np.int32)
+
+    def _stands_one(self, a: int, b: int) -> bool:
+        """``_stands`` of one pair."""
+        rank, left, right, pairs, _ = self._lists
+        due = 1 << 62
+        while True:
+            across = pairs.get((a << 32) | b)
+            if across is not None and across < due:
+                return False
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                due, a = ra, right[a]
+            else:
+                due, b = rb + 1, left[b]
+
 
 class PrefixCounter(Encoder):
     """An encoder whose table holds, for each piece, the counts of its prefixes in code points."""
@@ -182,7 +264,7 @@ class PrefixCounter(Encoder):
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the counts of its prefixes of 1, 2, ... code points."""
         x, starts, ends, breaks = self.pieces.cut(texts)
-        number = self.lookup(x, starts, ends)
+        number, wrong = self.lookup(x, starts, ends)
         n = self.len[number].astype(np.int64)
         inside = self.flat[ragged(self.at[number], n)]
         whole = inside[np.cumsum(n) - 1].astype(np.int64)
@@ -194,7 +276,10 @@ class PrefixCounter(Encoder):
         out = inside + np.repeat(before, n)
         self._mend(x, starts, ends, breaks, before, out)
         stop = ends[breaks]
-        return [out[a : b - 1] for a, b in zip((stop - np.diff(np.concatenate(([0], stop)))).tolist(), stop.tolist())]
+        got = [out[a : b - 1] for a, b in zip((stop - np.diff(np.concatenate(([0], stop)))).tolist(), stop.tolist())]
+        for k in np.unique(np.searchsorted(breaks, wrong)).tolist():
+            got[k] = self._by_library(texts[k])[1:]
+        return got
 
     def _mend(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, breaks: np.ndarray, before: np.ndarray, out: np.ndarray) -> None:
         """Prefixes that the pattern cuts otherwise than the text: those that end with the white space before a word, and inside a contraction."""
@@ -283,9 +368,9 @@ class PrefixCounter(Encoder):
         return out
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    """The worker's counter of a file."""
+    return held(f"prefixes {path}", lambda: PrefixCounter(path))
 
 
 def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terracell.llm import charlm, chunk_codec, chunking, fingerprints, langid, neardup, packing, prefix_counts, queries, token_files, topk, toxicity, warc
+from terracell.llm import chunk_codec, chunking, fingerprints, langid, neardup, packing, prefix_counts, queries, token_files, topk, toxicity, warc
 from terracell.llm.common import shared_dir, ship
 from terracell.llm.fasttok import Encoder
 
@@ -203,16 +203,6 @@ def test_top_k_by_brute_force(spark):
     assert few.count() == 2 and topk.top_k(topk.quantised(d.limit(0))).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    m = charlm.CharModel({"abc": 3, "abd": 2, "bcd": 1, "a": 5})
-    for context in ("\x02\x02\x02a", "\x02\x02\x02\x02", "zzzz"):
-        total = sum(2 ** -m.follow_bits(context, c) for c in ["a", "b", "c", "d", "\x03"])
-        assert 0.8 <= total <= 1 + 1e-9
-    words = ["abc", "zq", ""]
-    want = [sum(m.follow_bits(("\x02" * 4 + w + "\x03")[i : i + 4], (w + "\x03")[i]) for i in range(len(w) + 1)) for w in words]
-    np.testing.assert_allclose(m.word_bits(words), want)
-
-
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu", "re"], "bb": ["sch", "ung", "ein", "ver", "zu"]}
 
 
@@ -260,8 +250,8 @@ def test_toxicity_and_disguises(labelled):
     assert all(got[i]["predicted"] == t for i, t in marks.items()) and got[1000]["predicted"] == 0
     reader = toxicity.Reader(model)
     for text in ("gr0mb0ld grumb0ld", "snarf1e", "sn@rfle!", "s n a r f l e", "g.r.u.m.b.o.l.d", "snaaaaarfle", "$narfl3", "gr*mbold"):
-        assert reader.evidence(text)[0] > 0, text
-    assert reader.evidence("kalomi ture 42 lo*** mi!!")[0] == 0
+        assert reader.evidence([text])[0][0, 0] > 0, text
+    assert reader.evidence(["kalomi ture 42 lo*** mi!!"])[0][0, 0] == 0
     nothing = toxicity.train(d, labels.limit(0), F.lit(True))
     assert {r["score"] for r in toxicity.score(d, nothing).collect()} == {0.0} and toxicity.score(d.limit(0), model).count() == 0
 
@@ -316,7 +306,10 @@ def test_draws_agree_as_often_as_texts_are_alike():
     b = a[:300] + [f"v{i}" for i in range(100)]
     own, h, c = neardup.shingles([" ".join(a), " ".join(b)])
     w = c.astype(np.float32)
-    s = neardup.sketches(own, h, w, 2).view(np.uint64)
+    s, subs = neardup.sketches(own, h, w, 2)
+    s = s.view(np.uint64)
+    same = [all(int(s[0, 4 * (d // 64) + i] ^ s[1, 4 * (d // 64) + i]) >> d % 64 & 1 == 0 for i in range(4)) for d in range(neardup.SKETCH)]
+    assert (subs[0] == subs[1]).tolist() == [all(same[g : g + neardup.SUB]) for g in range(0, neardup.SUB * neardup.SUBS, neardup.SUB)]
     differ = sum(bin(int(s[0, k] ^ s[1, k]) | int(s[0, k + 1] ^ s[1, k + 1]) | int(s[0, k + 2] ^ s[1, k + 2]) | int(s[0, k + 3] ^ s[1, k + 3])).count("1") for k in range(0, s.shape[1], 4))
     alike = 296 / (396 + 396 - 296)
     assert abs(differ / neardup.SKETCH - (1 - alike) * 15 / 16) < 0.1
