@@ -344,9 +344,16 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
     roots = components(links)
     more = _rest(met, tested, roots, held, sent, done)
     if more is not None:
-        links = links.union(verified(more).where("similar").select("a", "b"))
-        done.append(roots)
-        roots = components(links)
+        # Components of components: only links between them, from root to root.
+        of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+        found = verified(more).where("similar").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        found = found.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
+        over = components(found)
+        done += [roots, over]
+        further = over.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        joined = roots.select("id", "root").join(further, "root", "left").select("id", F.coalesce("far", "root").alias("root"))
+        lone = over.select("id", "root").join(roots.select("id"), "id", "left_anti")
+        roots = staged(joined.unionByName(lone), "roots")
 
     first = roots.join(classes.select("id", "one"), "id").groupBy("root").agg(F.min("one").alias("first"))
     named = classes.select("id", "digest", "one").join(roots, "id", "left").join(first, "root", "left")

@@ -161,7 +161,8 @@ def test_members_that_leaders_do_not_confirm_find_each_other(spark):
     weights = plain_weights([" ".join(t) for t in texts])
     alike = [(a, b) for b in range(len(texts)) for a in range(b) if weighted_jaccard(weights[a], weights[b]) >= 0.8]
     assert set(pairs) <= set(alike)
-    assert [classes(spark, [" ".join(t) for t in texts])[i] for i in range(len(texts))] == components_of(len(texts), alike)
+    got = classes(spark, [" ".join(t) for t in texts])
+    assert [got[i] for i in range(len(texts))] == components_of(len(texts), alike)
 
 
 def test_a_long_chain_of_copies(spark):
