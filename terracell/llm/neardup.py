@@ -11,12 +11,14 @@ similarity.  ROWS draws make a band.
 2. Classes that share a band meet in its bucket.  Each bucket elects as leader the member that meets
    most others over all bands, the likeliest original among copies, and its members are verified
    against it: a row a member, never all pairs.
-3. A member that the leader did not confirm may still be like another member, of another component of
-   the links found so far.  Such members are dealt out once more, within their bucket, by SUBS groups
-   of six draws of a longer sketch: two texts of similarity 0.8 have one in common but for odds of one
-   in a million.  Those that do, and whose sketches agree in enough of all draws, are verified as well,
-   so no link that joins texts is lost but by the odds of the draws.
-4. Connected components of the verified links by propagating the smallest id along links and pointers,
+3. Buckets whose members are not yet all of one component elect further leaders, by LEADERS hashes of
+   the id and in ROUNDS rounds, and members of other components are verified against those: again a row
+   a member and leader.  Large groups of copies that differ too much from any one of them join so.
+4. What then still lies in another component than its bucket's leader is dealt out once more, by SUBS
+   groups of six draws of a longer sketch: two texts of similarity 0.8 have one in common but for odds
+   of one in a million.  Those that do, of different components, and whose sketches agree in enough of
+   all draws, are verified as well, so no link that joins texts is lost but by the odds of the draws.
+5. Connected components of the verified links by propagating the smallest id along links and pointers,
    with a written table each round.
 
 A bucket may hold a third of all classes.  What is counted by bucket is added up before the shuffle, and
@@ -52,6 +54,8 @@ SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 80
 #: Draws of a sketch that are compared together, and how many such groups it has.
 SUB = 6
 SUBS = SKETCH // SUB
+#: Further leaders that a bucket elects at a time, and how often.
+LEADERS, ROUNDS = 4, 3
 CELL_BITS = 20
 #: The rarest shingle weighs 1 + SPREAD times the commonest.  Copies are counted in the frequencies, so what a
 #: group shares weighs least and each copy's edits most: a pair of plain Jaccard similarity j has at least
@@ -338,22 +342,23 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
         done.append(out)
         return out
 
-    least, most = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
-    tested = verified(met.select(least, most).distinct())
-    links = tested.where("similar").select("a", "b")
-    roots = components(links)
-    more = _rest(met, tested, roots, held, sent, done)
-    if more is not None:
-        # Components of components: only links between them, from root to root.
-        of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
-        found = verified(more).where("similar").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        found = found.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
-        over = components(found)
-        done += [roots, over]
-        further = over.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        joined = roots.select("id", "root").join(further, "root", "left").select("id", F.coalesce("far", "root").alias("root"))
-        lone = over.select("id", "root").join(roots.select("id"), "id", "left_anti")
-        roots = staged(joined.unionByName(lone), "roots")
+    tested = verified(met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    roots = components(tested.where("similar").select("a", "b"))
+    placed = _placed(central, roots, done)
+    for round_ in range(ROUNDS):
+        further = [F.min_by("id", F.xxhash64(F.lit(LEADERS * round_ + k), "id")) for k in range(LEADERS)]
+        chosen = placed.groupBy("band", "key").agg(F.array_distinct(F.array(*further)).alias("some")).select("band", "key", F.explode("some").alias("leader"))
+        chosen = staged_as(chosen.join(roots.select(F.col("id").alias("leader"), F.col("root").alias("other")), "leader", "left").withColumn("other", F.coalesce("other", "leader")), "leaders", done)
+        pairs = placed.join(chosen, ["band", "key"]).where("root <> other").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        pairs = staged_as(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs", done)
+        if not pairs.limit(1).count():
+            break
+        more = verified(pairs)
+        tested, roots = tested.union(more), _joined(roots, more, done)
+        placed = _placed(central, roots, done)
+    pairs = _rest(placed, leaders, tested, roots, held, sent, done)
+    if pairs is not None:
+        roots = _joined(roots, verified(pairs), done)
 
     first = roots.join(classes.select("id", "one"), "id").groupBy("root").agg(F.min("one").alias("first"))
     named = classes.select("id", "digest", "one").join(roots, "id", "left").join(first, "root", "left")
@@ -361,17 +366,33 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
     return signs, named.select("digest", F.col("one.doc_id").alias("copy_of"), F.coalesce("first", "one").alias("first"))
 
 
-def _rest(met: DataFrame, tested: DataFrame, roots: DataFrame, held: DataFrame, sent, done: list[DataFrame]) -> DataFrame | None:
-    """(a, b): pairs of a bucket that may be similar, one of them not confirmed by its leader, and that no links join yet. None if there are none."""
-    by = ["band", "key"]
-    pair = {"a": F.least("id", "leader"), "b": F.greatest("id", "leader")}
-    placed = staged(met.withColumns(pair).join(tested, ["a", "b"]).select("id", *by, (~F.col("similar")).alias("failed")).join(roots.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
-    # Buckets whose members are not all of one component and hold a member that failed.
-    mixed = placed.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("failed").alias("any")).where("low <> high AND any").select(*by)
-    there = staged(placed.join(staged_as(mixed, "mixed", done), by), "there")
-    done += [placed, there]
-    if not there.limit(1).count():
+def _joined(roots: DataFrame, tested: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """roots with the similar pairs of tested as links: components of components, from root to root."""
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    found = tested.where("similar").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = components(found.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b").distinct())
+    done += [roots, over]
+    further = over.select(F.col("id").alias("root"), F.col("root").alias("far"))
+    joined = roots.select("id", "root").join(further, "root", "left").select("id", F.coalesce("far", "root").alias("root"))
+    lone = over.select("id", "root").join(roots.select("id"), "id", "left_anti")
+    return staged(joined.unionByName(lone), "roots")
+
+
+def _placed(members: DataFrame, roots: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """(band, key, id, root) of the members of buckets that are not all of one component."""
+    every = members.select("id", "band", "key").join(roots.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    every = staged_as(every, "placed", done)
+    mixed = every.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+    return staged_as(every.join(staged_as(mixed, "mixed", done), ["band", "key"]), "mixed-members", done)
+
+
+def _rest(placed: DataFrame, leaders: DataFrame, tested: DataFrame, roots: DataFrame, held: DataFrame, sent, done: list[DataFrame]) -> DataFrame | None:
+    """(a, b): pairs of members of buckets that may be similar, one of them not of its leader's component, and that no links join yet. None if there are none."""
+    if not placed.limit(1).count():
         return None
+    lead = leaders.join(roots.select(F.col("id").alias("leader"), F.col("root").alias("other")), "leader", "left").withColumn("other", F.coalesce("other", "leader"))
+    away = placed.join(staged_as(lead, "led", done), ["band", "key"]).withColumn("away", F.col("root") != F.col("other"))
+    there = staged_as(away.groupBy("id").agg(F.first("root").alias("root"), F.bool_or("away").alias("away")), "there", done)
 
     def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, h, count = shingles(batch.column("text").to_pylist())
@@ -380,13 +401,11 @@ def _rest(met: DataFrame, tested: DataFrame, roots: DataFrame, held: DataFrame,
         return pa.RecordBatch.from_arrays([batch.column("id"), lists, *(pa.array(words[:, i]) for i in range(words.shape[1]))], ["id", "subs", *names])
 
     names = [f"s{i}" for i in range(SLICES * SKETCH // 64)]
-    asked = held.join(there.select("id").distinct(), "id")
+    asked = held.join(there.select("id"), "id")
     drawn = staged_as(map_batches(asked, sketched, "id long, subs array<int>, " + ", ".join(f"{c} long" for c in names), most=BATCH, keeps=False), "sketches", done)
-    dealt = there.join(drawn.select("id", F.posexplode("subs").alias("group", "sub")), "id")
-    dealt = staged_as(dealt, "dealt", done)
-    key = [*by, "group", "sub"]
-    left = dealt.where("failed").select(*key, F.col("id").alias("x"), F.col("root").alias("root_x"))
-    pairs = left.join(dealt, key).where((F.col("root") != F.col("root_x")) & ((F.col("x") < F.col("id")) | ~F.col("failed")))
+    dealt = staged_as(there.join(drawn.select("id", F.posexplode("subs").alias("group", "sub")), "id"), "dealt", done)
+    left = dealt.where("away").select("group", "sub", F.col("id").alias("x"), F.col("root").alias("root_x"))
+    pairs = left.join(dealt, ["group", "sub"]).where((F.col("root") != F.col("root_x")) & ((F.col("x") < F.col("id")) | ~F.col("away")))
     pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     side = lambda c: drawn.select(F.col("id").alias(c), *[F.col(s).alias(f"{c}{s}") for s in names])
     alike = differing([F.col(f"a{s}") for s in names], [F.col(f"b{s}") for s in names]) <= MOST_DIFFERENT
