@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: An item as it is stored: loosely typed properties and named assets.
@@ -23,8 +23,9 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows with equal keys the last in ``order``, which must differ among them."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+    """Of rows with equal keys the last in ``order``, which must differ among them; null comes first. Combined before the shuffle."""
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(order)).alias("__row"))
+    return last.select("__row.*")
 
 
 def by_time(df: DataFrame, time: str, key: str) -> DataFrame:

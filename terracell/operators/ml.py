@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from pathlib import Path
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import curve_metrics
+from .order import numbered, union_all
+
 
 class Scaler:
     """(x - mean) / population deviation, learnt from one aggregate; a constant column is only centred."""
@@ -82,11 +89,47 @@ def cross_validate(df: DataFrame, folds: list[int], kind: str, numbers: list[str
     return out
 
 
+def holdout(df: DataFrame, kind: str, numbers: list[str], code: str, target: str = "target", split: str = "split", **options) -> tuple[Classifier, DataFrame]:
+    """A classifier of the rows whose split is "train", and its metrics on them and on those whose split is "test", a row each."""
+    fitted = fit(df.where(F.col(split) == "train"), kind, numbers, code, target, **options)
+    rows = [curve_metrics(fitted.scores(df.where(F.col(split) == part)), y=target).withColumn(split, F.lit(part)) for part in ("train", "test")]
+    return fitted, union_all(rows)
+
+
+def _digest(folder: Path) -> str:
+    """SHA-256 of a folder's files, by their names and contents in order of their names; checksum and marker files are left out."""
+    total = hashlib.sha256()
+    for p in sorted(folder.rglob("*")):
+        if p.is_file() and not p.name.startswith((".", "_")):
+            total.update(f"{p.relative_to(folder)}\n{hashlib.sha256(p.read_bytes()).hexdigest()}\n".encode())
+    return total.hexdigest()
+
+
+def save(model: Classifier, folder: str | Path) -> str:
+    """Writes a classifier to a new folder on a mounted file system; returns the SHA-256 that ``load`` asks for."""
+    folder = Path(folder)
+    folder.mkdir(parents=True)
+    model.model.save((folder / "model").as_uri())
+    (folder / "classifier.json").write_text(json.dumps({"scaler": model.scaler.of, "code": model.code, "known": model.known}, sort_keys=True))
+    return _digest(folder)
+
+
+def load(folder: str | Path, sha256: str) -> Classifier:
+    """A classifier as it was saved; raises, before anything of it is read as a model, if its digest is another."""
+    folder = Path(folder)
+    if _digest(folder) != sha256:
+        raise ValueError(f"{folder} is not the model with this digest")
+    held = json.loads((folder / "classifier.json").read_text())
+    scaler = Scaler.__new__(Scaler)
+    scaler.of = {c: tuple(v) for c, v in held["scaler"].items()}
+    return Classifier(scaler, PipelineModel.load((folder / "model").as_uri()), held["code"], held["known"])
+
+
 def ensemble(df: DataFrame, a: str, b: str, out: str = "ensemble") -> DataFrame:
     """Mean of two scores in double precision."""
     return df.withColumn(out, (F.col(a).cast("double") + F.col(b).cast("double")) / 2)
 
 
 def row_number_of(df: DataFrame, order: str, out: str = "source_row") -> DataFrame:
-    """0, 1, ... by an order column, for tables small enough to train on."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(order)) - 1)
+    """0, 1, ... by an order column, which must be total; numbered range by range."""
+    return numbered(df, order, out).withColumn(out, F.col(out) - 1)

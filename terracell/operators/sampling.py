@@ -103,9 +103,12 @@ def group_kfold(counts: list[tuple[str, int, int]], folds: int, seed: int) -> di
 
 
 def assign_folds(df: DataFrame, config: SpatialConfig, target: str = "target") -> DataFrame:
-    """df (with block_id) and ``fold``. Collects one row a block."""
+    """df (with block_id) and ``fold``. Collects one row a block. Fewer blocks, or rows of a class, than folds raise."""
     per = df.groupBy("block_id").agg(F.count_if(F.col(target) == 1).alias("a"), F.count_if(F.col(target) == 0).alias("b"))
-    folds = group_kfold([(r["block_id"], r["a"], r["b"]) for r in per.collect()], config.folds, config.seed)
+    counts = [(r["block_id"], r["a"], r["b"]) for r in per.collect()]
+    if min(sum(c[k] for c in counts) for k in (1, 2)) < config.folds:
+        raise ValueError("fewer rows of a class than folds")
+    folds = group_kfold(counts, config.folds, config.seed)
     return df.join(F.broadcast(df.sparkSession.createDataFrame(sorted(folds.items()), "block_id string, fold int")), "block_id")
 
 
@@ -129,6 +132,9 @@ def buffer_membership(df: DataFrame, folds: list[int], radius: float) -> DataFra
 
 
 def partition_faults(df: DataFrame, folds: int) -> Column:
-    """Rules that an assignment must meet, as a struct of counts that must be 0, over (id, block_id, fold)."""
-    del folds
-    return F.struct(F.count_if(F.col("fold").isNull()).alias("without_fold"), (F.count("id") - F.count_distinct("id")).alias("repeated_id"), (F.count_distinct("block_id", "fold") - F.count_distinct("block_id")).alias("split_block"))
+    """Rules that an assignment to the folds 1, 2, ... must meet, as a struct of counts that must be 0, over (id, block_id, fold)."""
+    known = F.col("fold").between(1, folds)
+    return F.struct(
+        F.count_if(F.col("fold").isNull()).alias("without_fold"), F.count_if(~known).alias("unknown_fold"), (F.lit(folds) - F.count_distinct(F.when(known, F.col("fold")))).alias("missing_folds"),
+        (F.count("id") - F.count_distinct("id")).alias("repeated_id"), (F.count_distinct("block_id", "fold") - F.count_distinct("block_id")).alias("split_block"),
+    )

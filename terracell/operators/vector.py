@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Ring = list[tuple[float, float]]
@@ -84,8 +84,8 @@ def in_layer(points: DataFrame, layer: DataFrame, inclusive: bool = False, tile:
 
 def lattice_dedup(df: DataFrame, x: str, y: str, order: str, tolerance: float = 0.01) -> DataFrame:
     """The first row, by ``order``, of those whose coordinates round (half to even) to the same lattice point."""
-    w = Window.partitionBy(F.rint(F.col(x) / tolerance), F.rint(F.col(y) / tolerance)).orderBy(order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    lattice = [F.rint(F.col(c) / tolerance).alias(f"__{i}") for i, c in enumerate((x, y))]
+    return df.groupBy(*lattice).agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("__row")).select("__row.*")
 
 
 def extent(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

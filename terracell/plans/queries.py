@@ -179,11 +179,16 @@ def resample_average(spark, sf):
     return tidied(raster.resample_average(d, "z", 3))
 
 
-@query(f"""WITH {CELLS}, g AS (SELECT r, c, (r + 0.5::DOUBLE) * 0.5 - 0.5 AS y, (c + 0.5::DOUBLE) * 0.5 - 0.5 AS x FROM range(0, (SELECT 2 * (max(row) + 1) FROM cells)) t(r), range(0, 100) u(c)),
-  k AS (SELECT r, c, CAST(floor(y) AS INTEGER) + a AS row, CAST(floor(x) AS INTEGER) + b AS col, (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
-    FROM g, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)),
-  m AS (SELECT r, c, sum(w * z) / nullif(sum(w), 0) AS v FROM k JOIN cells USING (row, col) WHERE land_cover <> 0 GROUP BY r, c)
-  SELECT CAST(g.r AS INTEGER) AS row, CAST(g.c AS INTEGER) AS col, round(v, 6) + 0 AS value FROM g LEFT JOIN m USING (r, c)""")
+#: Of a fine cell the four coarse corners, as whole numbers, and their weights in sixteenths.
+CORNERS = """g AS (SELECT r, c, (r + 1) // 2 - 1 AS y, (c + 1) // 2 - 1 AS x, CASE WHEN r % 2 = 0 THEN 3 ELSE 1 END AS wy, CASE WHEN c % 2 = 0 THEN 3 ELSE 1 END AS wx
+    FROM range(0, (SELECT 2 * (max(row) + 1) FROM cells)) t(r), range(0, 100) u(c)),
+  k AS MATERIALIZED (SELECT r, c, y AS row, x AS col, (4 - wy) * (4 - wx) AS w FROM g UNION ALL SELECT r, c, y + 1, x, wy * (4 - wx) FROM g
+    UNION ALL SELECT r, c, y, x + 1, (4 - wy) * wx FROM g UNION ALL SELECT r, c, y + 1, x + 1, wy * wx FROM g)"""
+
+
+@query(f"""WITH {CELLS}, land AS MATERIALIZED (SELECT row, col, z FROM cells WHERE land_cover <> 0), {CORNERS}
+  SELECT CAST(k.r AS INTEGER) AS row, CAST(k.c AS INTEGER) AS col, round(sum(k.w * land.z) / sum(CASE WHEN land.z IS NOT NULL THEN k.w END), 6) + 0 AS value
+  FROM k LEFT JOIN land ON k.row = land.row AND k.col = land.col GROUP BY k.r, k.c""")
 def resample_bilinear(spark, sf):
     d = cells(spark, sf).withColumn("z", F.when(F.col("land_cover") != 0, F.col("z")))
     return tidied(raster.resample_bilinear(d, "z", 0.5, 2 * WIDTH, 2 * height(spark, sf)))
@@ -303,7 +308,7 @@ _NEAREST = f"{CELLS}, {POINTS}, near AS (SELECT cell_id, min(sqrt(pow(c.x - p.x,
 
 @query(f"WITH {_NEAREST} SELECT cell_id AS id, {r('distance')} FROM near")
 def nearest_distance(spark, sf):
-    return tidied(neighbors.nearest_distance(_cell_points(spark, sf), points(spark, sf), 30.0))
+    return tidied(neighbors.nearest_distance(_cell_points(spark, sf), points(spark, sf)))
 
 
 @query(f"WITH {_NEAREST} SELECT cell_id AS id FROM near WHERE distance >= 20")
@@ -392,7 +397,7 @@ def buffer_membership(spark, sf):
 def fold_min_distance(spark, sf):
     d = _folds(spark, sf)
     folds = sorted(x["fold"] for x in d.select("fold").distinct().collect())
-    rows = [(k, neighbors.least_distance(d.where(F.col("fold") != k), d.where(F.col("fold") == k), 60.0)) for k in folds]
+    rows = [(k, neighbors.least_distance(d.where(F.col("fold") != k), d.where(F.col("fold") == k))) for k in folds]
     return tidied(spark.createDataFrame(rows, "evaluation_fold int, distance double"))
 
 
@@ -699,7 +704,7 @@ def lr_fit_score(spark, sf):
 @query()
 def rf_fit_score(spark, sf):
     d = _model_table(spark, sf)
-    return metrics.curve_metrics(ml.fit(d, "forest", ["z", "x", "y"], "land_cover", trees=20).scores(d), y="target")
+    return metrics.curve_metrics(ml.fit(d, "forest", ["z", "x", "y"], "land_cover").scores(d), y="target")
 
 
 @query()
@@ -707,3 +712,18 @@ def spatial_cv(spark, sf):
     d = _model_table(spark, sf)
     got = ml.cross_validate(d, sorted(x["fold"] for x in d.select("fold").distinct().collect()), "logistic", ["z", "x", "y"], "land_cover")
     return metrics.confusion(got, ["fold"], y="target")
+
+
+@query()
+def spatial_cv_buffered(spark, sf):
+    """The same frozen folds, with training rows only that are 60 m or more from all validation rows."""
+    d = _model_table(spark, sf)
+    folds = sorted(x["fold"] for x in d.select("fold").distinct().collect())
+    got = ml.cross_validate(d, folds, "logistic", ["z", "x", "y"], "land_cover", train=lambda k: sampling.buffered_train(d, k, 60.0)[0])
+    return metrics.confusion(got, ["fold"], y="target")
+
+
+@query()
+def holdout_metrics(spark, sf):
+    d = sampling.stratified_split(_model_table(spark, sf), "target", "id")
+    return tidied(ml.holdout(d, "logistic", ["z", "x", "y"], "land_cover")[1])

@@ -127,11 +127,61 @@ def test_nearest_distance_by_brute_force(spark):
     a, b = rng.random((60, 2)) * 1000, rng.random((25, 2)) * 1000
     left = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(a)], "id long, x double, y double")
     right = spark.createDataFrame([tuple(map(float, p)) for p in b], "x double, y double")
-    got = {r["id"]: r["distance"] for r in neighbors.nearest_distance(left, right, 20.0).collect()}
+    got = {r["id"]: r["distance"] for r in neighbors.nearest_distance(left, right).collect()}
     want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)).min(1)
     np.testing.assert_allclose([got[i] for i in range(60)], want)
-    assert neighbors.least_distance(left, right, 1.0) == pytest.approx(want.min())
-    assert neighbors.nearest_distance(left, right.limit(0), 20.0).where("distance IS NULL").count() == 60
+    assert neighbors.least_distance(left, right) == pytest.approx(want.min())
+    assert neighbors.nearest_distance(left, right.limit(0)).where("distance IS NULL").count() == 60
+
+
+def test_nearest_distance_of_crowds_and_far_rows(spark):
+    rng = np.random.default_rng(9)
+    b = np.concatenate((rng.normal(0, 1e-3, (3000, 2)), rng.random((40, 2)) * 1e5, [[7.0, 7.0]] * 5))
+    a = np.concatenate((rng.normal(0, 1e-3, (20, 2)), rng.random((60, 2)) * 3e5 - 1e5, b[:3]))
+    left = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(a)] + [(900, None, 1.0), (901, float("nan"), 1.0)], "id long, x double, y double")
+    right = spark.createDataFrame([tuple(map(float, p)) for p in b] + [(None, 1.0)], "x double, y double")
+    got = {r["id"]: r["distance"] for r in neighbors.nearest_distance(left, right).collect()}
+    np.testing.assert_allclose([got[i] for i in range(len(a))], np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)).min(1))
+    assert got[900] is None and got[901] is None
+    one = neighbors.nearest_distance(left, right.where("x = 7")).where("id = 0").first()["distance"]
+    assert one == pytest.approx(float(np.hypot(*(a[0] - 7))))
+
+
+@pytest.mark.parametrize("radius", [-1.0, float("nan"), float("inf")])
+def test_radius_must_be_finite(spark, radius):
+    d = spark.createDataFrame([(1, 1.0, 1.0)], "id long, x double, y double")
+    for call in (neighbors.closer_than, neighbors.distance_anti_join, neighbors.min_distance_within):
+        with pytest.raises(ValueError):
+            call(d, d, radius)
+
+
+def test_points_to_keep_away_from_must_be_there(spark):
+    d = spark.createDataFrame([(1, 1.0, 1.0)], "id long, x double, y double")
+    for right in (d.limit(0), d.withColumn("x", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError):
+            neighbors.distance_anti_join(d, right, 1.0)
+
+
+def test_folds_need_rows_of_both_classes(spark):
+    d = spark.createDataFrame([(i, f"b{i}", int(i < 2)) for i in range(20)], "id long, block_id string, target int")
+    with pytest.raises(ValueError):
+        sampling.assign_folds(d, sampling.SpatialConfig(folds=3))
+    faults = d.withColumn("fold", F.lit(1)).agg(sampling.partition_faults(d, 3)).first()[0]
+    assert faults["missing_folds"] == 2 and faults["unknown_fold"] == 0
+
+
+def test_model_is_saved_and_loaded_by_its_digest(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    d = spark.createDataFrame([(i, float(x), int(i % 3), int(x + rng.normal() * 0.5 > 0)) for i, x in enumerate(rng.normal(size=160))], "id long, z double, code int, target int")
+    fitted, scores = ml.holdout(sampling.stratified_split(d, "target", "id"), "logistic", ["z"], "code")
+    got = {r["split"]: r for r in scores.collect()}
+    assert set(got) == {"train", "test"} and got["test"]["roc_auc"] > 0.8
+    sha = ml.save(fitted, tmp_path / "m")
+    again = ml.load(tmp_path / "m", sha)
+    assert rows(again.scores(d), "id", "p") == rows(fitted.scores(d), "id", "p")
+    (tmp_path / "m" / "classifier.json").write_text("{}")
+    with pytest.raises(ValueError):
+        ml.load(tmp_path / "m", sha)
 
 
 def test_points_to_cells_and_occurrences(spark):
