@@ -55,7 +55,7 @@ SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 80
 SUB = 6
 SUBS = SKETCH // SUB
 #: Further leaders that a bucket elects at a time, and how often.
-LEADERS, ROUNDS = 4, 3
+LEADERS, ROUNDS = 4, 2
 CELL_BITS = 20
 #: The rarest shingle weighs 1 + SPREAD times the commonest.  Copies are counted in the frequencies, so what a
 #: group shares weighs least and each copy's edits most: a pair of plain Jaccard similarity j has at least
