@@ -30,7 +30,7 @@ TRUSTED = ((0x0000, 0x0130), (0x0131, 0x0180), (0x2010, 0x2028), (0x4E00, 0x9FA6
 #: White space of the tokenizers' patterns among the trusted code points.
 WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0}
 #: Characters of a batch that are worked on at a time; pieces, and characters or ids of them, kept before the table starts anew.
-BATCH_CHARS, MAX_PIECES, MAX_HELD = 1 << 19, 1 << 18, 1 << 23
+BATCH_CHARS, MAX_PIECES, MAX_HELD = 1 << 19, 1 << 20, 1 << 23
 
 
 @lru_cache(maxsize=1)
