@@ -14,10 +14,13 @@ similarity.  ROWS draws make a band.
 3. Buckets whose members are not yet all of one component elect further leaders, by LEADERS hashes of
    the id and in ROUNDS rounds, and members of other components are verified against those: again a row
    a member and leader.  Large groups of copies that differ too much from any one of them join so.
-4. What then still lies in another component than its bucket's leader is dealt out once more, by SUBS
-   groups of six draws of a longer sketch: two texts of similarity 0.8 have one in common but for odds
-   of one in a million.  Those that do, of different components, and whose sketches agree in enough of
-   all draws, are verified as well, so no link that joins texts is lost but by the odds of the draws.
+4. What then still lies in another component than its bucket's leader is paired by what it differs in from
+   that leader.  Let the weighted difference of two texts be the sum of |w - w'| over their shingles: at
+   similarity s it is at most (1 - s) / (1 + s) of their summed weights.  A text that is not similar to the
+   leader and one that is similar to it must have some of their differences from the leader in common, and
+   enough of them in weight; so only texts meet that share one of the rarest of those differences (the
+   prefix filter of exact similarity joins, taken about a pivot), and these are verified.  Copies that
+   differ from the leader each in their own way never meet, however many they are, and no link is lost.
 5. Connected components of the verified links by propagating the smallest id along links and pointers,
    with a written table each round.
 
@@ -38,7 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, map_batches, partitions, release, slices, staged, texts
@@ -48,12 +51,6 @@ from .words import ALNUM, LETTER, MARK, UNSPACED, codes, hashes, kinds
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a band with probability 0.9996, at 0.5 with 0.62, at 0.3 with 0.11.
 BANDS, ROWS = 15, 4
-#: Draws of a sketch, kept as four bits each, and how many may differ before two texts are no candidates:
-#: at similarity 0.8 fewer than one pair in a million differs in more, at 0.6 nearly all do.
-SKETCH, SLICES, MOST_DIFFERENT = 256, 4, 80
-#: Draws of a sketch that are compared together, and how many such groups it has.
-SUB = 6
-SUBS = SKETCH // SUB
 #: Further leaders that a bucket elects at a time, and how often: on a large group of near copies a second round joined 16 of 43,426 pairs.
 LEADERS, ROUNDS = 4, 1
 CELL_BITS = 20
@@ -199,33 +196,6 @@ def bands(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, SLICES * SKETCH / 64): four bits of each of SKETCH further draws, 64 draws and one bit of each to a number; and (n, SUBS): those of SUB draws together."""
-    out, subs = np.zeros((n, SKETCH // 64 * SLICES), np.uint64), np.zeros((n, SUBS), np.int32)
-    if len(h):
-        place = np.unique(own)
-        for k, drawn in _draws(own, h, w, range(1000, 1000 + SKETCH)):
-            word, bit = divmod(k - 1000, 64)
-            for i in range(SLICES):
-                out[place, word * SLICES + i] |= ((drawn >> U64(7 * i + 3)) & U64(1)) << U64(bit)
-            group, i = divmod(k - 1000, SUB)
-            if group < SUBS:
-                nibble = sum(((drawn >> U64(7 * j + 3)) & U64(1)) << U64(j) for j in range(SLICES))
-                subs[place, group] |= (nibble << U64(SLICES * i)).astype(np.int32)
-    return out.view(np.int64), subs
-
-
-def differing(one: list, two: list):
-    """Column: of how many draws the four bits differ, between sketches as lists of columns."""
-    total = None
-    for word in range(0, len(one), SLICES):
-        any_bit = None
-        for x, y in zip(one[word : word + SLICES], two[word : word + SLICES]):
-            any_bit = x.bitwiseXOR(y) if any_bit is None else any_bit.bitwiseOR(x.bitwiseXOR(y))
-        total = F.bit_count(any_bit) if total is None else total + F.bit_count(any_bit)
-    return total
-
-
 def _digest(own: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> list[bytes]:
     """128-bit digests of shingle sets with counts; of the empty set, nothing."""
     from hashlib import blake2b
@@ -234,25 +204,49 @@ def _digest(own: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> list[b
     return [blake2b(h[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest() if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+class _Weighted:
+    """The weighted shingles of texts, in order of their hashes."""
+
+    def __init__(self, texts: list[str], frequencies: np.ndarray, n: int):
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        own, self.h, count = shingles(list(self.number))
+        self.w = weigh(frequencies, n, self.h, count).astype(np.float64)
+        self.ends = np.searchsorted(own, np.arange(len(self.number) + 1))
+        self.total = np.bincount(own, self.w, len(self.number))
+
+    def __getitem__(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """Hashes, weights and summed weight of a text."""
+        i = self.number[text]
+        own = slice(self.ends[i], self.ends[i + 1])
+        return self.h[own], self.w[own], self.total[i]
+
+
 def similarities(pairs_a: list[str], pairs_b: list[str], frequencies: np.ndarray, n: int) -> np.ndarray:
     """Weighted Jaccard similarity of texts, pair by pair."""
-    both = list(dict.fromkeys(pairs_a + pairs_b))
-    number = {t: i for i, t in enumerate(both)}
-    own, h, count = shingles(both)
-    w = weigh(frequencies, n, h, count).astype(np.float64)
-    ends = np.searchsorted(own, np.arange(len(both) + 1))
-    total = np.bincount(own, w, len(both))
+    known = _Weighted(pairs_a + pairs_b, frequencies, n)
     out = np.zeros(len(pairs_a))
     for k, (a, b) in enumerate(zip(pairs_a, pairs_b)):
-        i, j = number[a], number[b]
-        x, y = slice(ends[i], ends[i + 1]), slice(ends[j], ends[j + 1])
-        hx, hy = h[x], h[y]
+        (hx, wx, x), (hy, wy, y) = known[a], known[b]
         if not len(hx) or not len(hy):
             continue
         at = np.minimum(np.searchsorted(hy, hx), len(hy) - 1)
         hit = hy[at] == hx
-        shared = np.minimum(w[x][hit], w[y][at[hit]]).sum()
-        out[k] = shared / (total[i] + total[j] - shared)
+        shared = np.minimum(wx[hit], wy[at[hit]]).sum()
+        out[k] = shared / (x + y - shared)
+    return out
+
+
+def differences(members: list[str], pivots: list[str], frequencies: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Of each member: the shingles whose weight is another than in its pivot, by how much, and the member's summed weight."""
+    known = _Weighted(members + pivots, frequencies, n)
+    out = []
+    for a, b in zip(members, pivots):
+        (hx, wx, x), (hy, wy, _) = known[a], known[b]
+        h = np.union1d(hx, hy)
+        d = np.zeros(len(h))
+        d[np.searchsorted(h, hx)] += wx
+        d[np.searchsorted(h, hy)] -= wy
+        out.append((h[d != 0], np.abs(d[d != 0]), float(x)))
     return out
 
 
@@ -356,7 +350,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
         more = verified(pairs)
         tested, roots = tested.union(more), _joined(roots, more, done)
         placed = _placed(central, roots, done)
-    pairs = _rest(placed, leaders, tested, roots, held, sent, done)
+    pairs = _rest(placed, leaders, tested, roots, held, sent, similarity, done)
     if pairs is not None:
         roots = _joined(roots, verified(pairs), done)
 
@@ -386,33 +380,56 @@ def _placed(members: DataFrame, roots: DataFrame, done: list[DataFrame]) -> Data
     return staged_as(every.join(staged_as(mixed, "mixed", done), ["band", "key"]), "mixed-members", done)
 
 
-def _rest(placed: DataFrame, leaders: DataFrame, tested: DataFrame, roots: DataFrame, held: DataFrame, sent, done: list[DataFrame]) -> DataFrame | None:
-    """(a, b): pairs of members of buckets that may be similar, one of them not of its leader's component, and that no links join yet. None if there are none."""
+def _rest(placed: DataFrame, leaders: DataFrame, tested: DataFrame, roots: DataFrame, held: DataFrame, sent, similarity: float, done: list[DataFrame]) -> DataFrame | None:
+    """(a, b): pairs of members of one leader's buckets that may be similar, one of them not of its component, and that no links join yet. None if there are none.
+
+    Let x and y be of different components and x not of the leader's, so not similar to it: its difference
+    from the leader, dev_x, is over c (W_x + W_leader), where c = (1 - s) / (1 + s).  If x and y are similar,
+    theirs is at most c (W_x + W_y).  Were no shingle among the differences of both, it would be
+    dev_x + dev_y, but dev_y is no less than W_leader - W_y: so they have some in common.  By the triangle
+    inequality what they have in common weighs at least (dev_x + dev_y - c (W_x + W_y)) / 2, and in y, where
+    that is the greater of both, at least dev_y - c (W_x + W_y).  Neither's W is over 1 / s of the other's.  So
+    whatever comes last in an order of the differences, and weighs less than that, need not be looked at, and
+    a pair need not be where it has too little left in common from that place on.
+    """
     if not placed.limit(1).count():
         return None
     lead = leaders.join(roots.select(F.col("id").alias("leader"), F.col("root").alias("other")), "leader", "left").withColumn("other", F.coalesce("other", "leader"))
-    away = placed.join(staged_as(lead, "led", done), ["band", "key"]).withColumn("away", F.col("root") != F.col("other"))
-    there = staged_as(away.groupBy("id").agg(F.first("root").alias("root"), F.bool_or("away").alias("away")), "there", done)
-
-    def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, h, count = shingles(batch.column("text").to_pylist())
-        words, subs = sketches(own, h, weigh(*sent.value, h, count), batch.num_rows)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * SUBS, pa.int32()), pa.array(subs.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("id"), lists, *(pa.array(words[:, i]) for i in range(words.shape[1]))], ["id", "subs", *names])
-
-    names = [f"s{i}" for i in range(SLICES * SKETCH // 64)]
-    asked = held.join(there.select("id"), "id")
-    drawn = staged_as(map_batches(asked, sketched, "id long, subs array<int>, " + ", ".join(f"{c} long" for c in names), most=BATCH, keeps=False), "sketches", done)
-    whole = there.join(drawn, "id")
-    dealt = staged_as(whole.select("*", F.posexplode("subs").alias("group", "sub")), "dealt", done)
-    left = dealt.where("away").select("group", "sub", F.col("id").alias("x"), F.col("root").alias("root_x"), F.col("subs").alias("subs_x"), *[F.col(c).alias(f"x{c}") for c in names])
-    # Each pair once: in the first group that it shares, and from its smaller id where both are away. Compared where they meet, so that only what is alike leaves the join.
-    first = F.array_position(F.zip_with("subs", "subs_x", lambda a, b: a == b), F.lit(True)) == F.col("group") + 1
-    once = (F.col("x") < F.col("id")) | ~F.col("away")
-    alike = differing([F.col(c) for c in names], [F.col(f"x{c}") for c in names]) <= MOST_DIFFERENT
-    pairs = left.join(dealt, ["group", "sub"]).where((F.col("root") != F.col("root_x")) & once & alike & first)
-    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = staged_as(pairs, "candidates", done)
+    led = placed.join(staged_as(lead, "led", done), ["band", "key"]).where("id <> leader")
+    led = staged_as(led.groupBy("leader", "id").agg(F.first("root").alias("root"), F.first("other").alias("other")), "members", done)
+    beside = led.join(held, "id").join(held.select(F.col("id").alias("leader"), F.col("text").alias("text_of_leader")), "leader")
+
+    def differ(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = differences(batch.column("text").to_pylist(), batch.column("text_of_leader").to_pylist(), *sent.value)
+        at = pa.array(np.cumsum([0] + [len(h) for h, _, _ in found]), pa.int32())
+        joined = [np.concatenate(x) for x in ([h for h, _, _ in found], [d for _, d, _ in found])]
+        lists = [pa.ListArray.from_arrays(at, pa.array(joined[0].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(joined[1]))]
+        sums = [pa.array([w for _, _, w in found], pa.float64()), pa.array([float(d.sum()) for _, d, _ in found], pa.float64())]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("leader", "id", "root", "away")), *sums, *lists], ["leader", "id", "root", "away", "weight", "dev", "shingles", "by"])
+
+    schema = "leader long, id long, root long, away boolean, weight double, dev double, shingles array<long>, by array<double>"
+    beside = beside.withColumn("away", F.col("root") != F.col("other")).select("leader", "id", "root", "away", "text", "text_of_leader")
+    differing = staged_as(map_batches(beside, differ, schema, most=BATCH, keeps=False), "differences", done)
+    each = differing.select("leader", "id", "root", "away", "weight", "dev", F.explode(F.arrays_zip("shingles", "by")).alias("one"))
+    each = each.select("leader", "id", "root", "away", "weight", "dev", F.col("one.shingles").alias("shingle"), F.col("one.by").alias("by"))
+    # What only members of one component differ in, or none that is away, is common to no pair that is looked for.
+    common = each.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("away").alias("any"))
+    common = staged_as(common.where("low <> high AND any").select("leader", "shingle", "n"), "common", done)
+    # The commonest come last; rest is what a shingle and those after it weigh. The sums are rounded, hence the thousandth.
+    after = Window.partitionBy("leader", "id").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    rest = each.join(common, ["leader", "shingle"]).withColumn("rest", F.sum("by").over(after) + 0.001 * F.col("weight"))
+    least = (1 - similarity) / similarity
+    ahead = rest.where(F.col("rest") >= F.col("dev") - least * F.col("weight")).withColumn("short", F.col("rest") >= F.col("dev") - least / 2 * F.col("weight"))
+    ahead = staged_as(ahead.select("leader", "shingle", "id", "root", "away", "weight", "dev", "rest", "short"), "ahead", done)
+    # Each pair from the one that differs less.
+    less = ahead.where("short").select("leader", "shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "away", "weight", "dev", "rest")])
+    once = (F.col("dev_x") < F.col("dev")) | ((F.col("dev_x") == F.col("dev")) & (F.col("id_x") < F.col("id")))
+    sized = F.least("weight", "weight_x") >= (similarity - 0.001) * F.greatest("weight", "weight_x")
+    # If this is the first that both differ in, what they have in common weighs no more than it and what comes after it in either.
+    enough = F.least("rest", "rest_x") >= (F.col("dev") + F.col("dev_x") - (1 - similarity) / (1 + similarity) * (F.col("weight") + F.col("weight_x"))) / 2
+    met = less.join(ahead, ["leader", "shingle"]).where((F.col("root") != F.col("root_x")) & (F.col("away") | F.col("away_x")) & once & sized & enough)
+    pairs = met.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
+    pairs = staged_as(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "candidates", done)
     return pairs if pairs.limit(1).count() else None
 
 
