@@ -138,6 +138,11 @@ def release() -> None:
     """Forgets it, before work that needs none, and gives freed memory back to the system."""
     if _held:
         _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system; what the worker remembers stays. A worker that has done its task may long be idle."""
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
@@ -173,9 +178,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     def run(batches):
         if not keeps:
             release()
-        for part in slices(batches, column, most):
-            out = fn(part)
-            if out is not None and out.num_rows:
-                yield out
+        try:
+            for part in slices(batches, column, most):
+                out = fn(part)
+                if out is not None and out.num_rows:
+                    yield out
+        finally:
+            part = out = None
+            trim()
 
     return df.mapInArrow(run, schema)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, partitions, release, slices, staged, texts
+from .common import discard, map_batches, partitions, release, slices, staged, texts, trim
 from .fasttok import U64
 from .words import ALNUM, LETTER, MARK, UNSPACED, codes, hashes, kinds
 
@@ -59,7 +59,7 @@ CELL_BITS = 20
 #: j / (j + (1 - j) (1 + SPREAD)), which is 0.8 at j = 0.849, whatever the group's share of the corpus.
 SPREAD = 0.4
 #: Bytes of text that are shingled at a time: the arrays behind them take some fifty times as much.
-BATCH = 1 << 20
+BATCH = 1 << 19
 BLOCK_BITS = 14
 
 
@@ -119,6 +119,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             own, h, _ = shingles(batch.column("text").to_pylist())
             total += np.bincount((h >> U64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
             n += batch.num_rows
+        trim()
         if n:
             parts = total.reshape(-1, block)
             sent = [k for k in range(len(parts)) if parts[k].any()]
