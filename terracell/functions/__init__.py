@@ -13,6 +13,14 @@ def tidy(c: Column, digits: int) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def round_as_sql(c: Column, digits: int) -> Column:
+    """A finite number rounded in double arithmetic, halves away from zero, as the SQL does; ``round`` rounds the decimal form, so 0.5055 goes up there and down here."""
+    scale = 10.0**digits
+    scaled = F.abs(c) * scale
+    whole = F.floor(scaled).cast("double")
+    return F.when(c < 0, -1.0).otherwise(1.0) * (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / scale
+
+
 def finite(c: Column) -> Column:
     """Neither null nor NaN nor infinite."""
     d = c.cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import round_as_sql
 from ..grid import GridSpec
 
 WIDTH, CELL = 50, 30.0
@@ -38,7 +39,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    return d.select("doc_id", F.col("quality").alias("y"), F.round(F.least(F.lit(1.0), F.col("n_chars") / F.lit(20000.0)), 3).alias("p"))
+    return d.select("doc_id", F.col("quality").alias("y"), round_as_sql(F.least(F.lit(1.0), F.col("n_chars") / F.lit(20000.0)), 3).alias("p"))
 
 
 def stack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,17 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_scores_halfway_between_thousandths_are_rounded_as_in_the_sql(spark, tmp_path):
+    """Lengths of which some lie halfway: 10,110 / 20,000 * 1,000 is a little under 505.5 in doubles."""
+    spark.range(0, 20200, 10).selectExpr("id AS doc_id", "CAST(id AS INT) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 20200, 10).selectExpr("id AS doc_id", "CAST(id DIV 10 % 2 AS INT) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    d, cursor = QUERIES["roc_points"](spark, str(tmp_path)), con.execute(SQL["roc_points"])
+    assert normal(d.collect(), d.columns) == normal(cursor.fetchall(), [c[0] for c in cursor.description])
+
+
 def test_entry(spark):
     import __spark_entry__
 
