@@ -7,12 +7,13 @@ import json
 from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import forest
 from .metrics import curve_metrics
 from .order import numbered, union_all
 
@@ -31,13 +32,16 @@ class Scaler:
 class Classifier:
     """Scaler, encoder and model together. Unknown categories have all indicators 0."""
 
-    def __init__(self, scaler: Scaler, model: PipelineModel, code: str, known: list[str]):
+    def __init__(self, scaler: Scaler, model: PipelineModel | forest.Forest, code: str, known: list[str]):
         self.scaler, self.model, self.code, self.known = scaler, model, code, known
 
     def scores(self, df: DataFrame, out: str = "p") -> DataFrame:
         """df with the probability of class 1."""
         kept = df.columns
-        d = self.model.transform(self.scaler.transform(df).withColumn("__code", F.col(self.code).cast("string")))
+        d = self.scaler.transform(df).withColumn("__code", F.col(self.code).cast("string"))
+        if isinstance(self.model, forest.Forest):
+            return d.withColumn(out, self.model.probability([f"{c}__z" for c in self.scaler.of], "__code")).select(*kept, out)
+        d = self.model.transform(d)
         return d.withColumn(out, vector_to_array("probability")[1]).select(*kept, out)
 
     def unknown(self, df: DataFrame) -> DataFrame:
@@ -46,10 +50,9 @@ class Classifier:
 
     def importances(self) -> list[tuple[str, float]]:
         """Coefficients or impurity importances by feature, largest magnitude first, then by name."""
-        m = self.model.stages[-1]
-        v = m.coefficients if hasattr(m, "coefficients") else m.featureImportances
+        v = self.model.importance if isinstance(self.model, forest.Forest) else self.model.stages[-1].coefficients.toArray()
         names = [f"{c}" for c in self.scaler.of] + [f"{self.code}={k}" for k in self.known]
-        return sorted(zip(names, v.toArray().tolist()), key=lambda x: (-abs(x[1]), x[0]))
+        return sorted(zip(names, v.tolist()), key=lambda x: (-abs(x[1]), x[0]))
 
 
 def fit(df: DataFrame, kind: str, numbers: list[str], code: str, target: str = "target", seed: int = 42, trees: int = 500, iterations: int = 5000) -> Classifier:
@@ -58,20 +61,18 @@ def fit(df: DataFrame, kind: str, numbers: list[str], code: str, target: str = "
     d = scaler.transform(df).withColumn("__code", F.col(code).cast("string")).withColumn("__y", F.col(target).cast("double")).cache()
     try:
         n = d.count()
-        stages = [StringIndexer(inputCol="__code", outputCol="__index", handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol="__index", outputCol="__hot", dropLast=True), VectorAssembler(inputCols=[f"{c}__z" for c in numbers] + ["__hot"], outputCol="__features")]
-        common = {"featuresCol": "__features", "labelCol": "__y"}
-        if kind == "logistic":
-            # C = 1 weighs the sum of losses; regParam weighs their mean.
-            stages.append(LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-10, **common))
-        elif kind == "forest":
-            stages.append(RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed, **common))
-        else:
+        if kind == "forest":
+            grown = forest.fit(d, [f"{c}__z" for c in numbers], "__code", "__y", trees, depth=8, least=5, seed=seed)
+            return Classifier(scaler, grown, code, grown.known)
+        if kind != "logistic":
             raise ValueError(f"no such model: {kind}")
+        stages = [StringIndexer(inputCol="__code", outputCol="__index", handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol="__index", outputCol="__hot", dropLast=True), VectorAssembler(inputCols=[f"{c}__z" for c in numbers] + ["__hot"], outputCol="__features")]
+        # C = 1 weighs the sum of losses; regParam weighs their mean.
+        stages.append(LogisticRegression(featuresCol="__features", labelCol="__y", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-10))
         model = Pipeline(stages=stages).fit(d)
     finally:
         d.unpersist()
-    last = model.stages[-1]
-    if kind == "logistic" and last.summary.totalIterations >= iterations:
+    if model.stages[-1].summary.totalIterations >= iterations:
         raise RuntimeError("logistic regression did not converge")
     return Classifier(scaler, model, code, list(model.stages[0].labels))
 
@@ -109,8 +110,12 @@ def save(model: Classifier, folder: str | Path) -> str:
     """Writes a classifier to a new folder on a mounted file system; returns the SHA-256 that ``load`` asks for."""
     folder = Path(folder)
     folder.mkdir(parents=True)
-    model.model.save((folder / "model").as_uri())
-    (folder / "classifier.json").write_text(json.dumps({"scaler": model.scaler.of, "code": model.code, "known": model.known}, sort_keys=True))
+    if isinstance(model.model, forest.Forest):
+        model.model.save(folder / "forest.npz")
+    else:
+        model.model.save((folder / "model").as_uri())
+    # Numbers stay in the order in which the model asks them.
+    (folder / "classifier.json").write_text(json.dumps({"scaler": model.scaler.of, "code": model.code, "known": model.known}))
     return _digest(folder)
 
 
@@ -122,7 +127,8 @@ def load(folder: str | Path, sha256: str) -> Classifier:
     held = json.loads((folder / "classifier.json").read_text())
     scaler = Scaler.__new__(Scaler)
     scaler.of = {c: tuple(v) for c, v in held["scaler"].items()}
-    return Classifier(scaler, PipelineModel.load((folder / "model").as_uri()), held["code"], held["known"])
+    model = forest.Forest.load(folder / "forest.npz") if (folder / "forest.npz").exists() else PipelineModel.load((folder / "model").as_uri())
+    return Classifier(scaler, model, held["code"], held["known"])
 
 
 def ensemble(df: DataFrame, a: str, b: str, out: str = "ensemble") -> DataFrame:
